@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_store, packing
+from . import chunk_store, packing, phrase_dedup, simhash
 from .common import table
 
 TOKENIZER_VARIABLE = "SIFTWISE_TOKENIZERS"
@@ -29,13 +29,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_ids(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_phrase_dedup": op2_phrase_dedup,
     "op8_chunk_store": op8_chunk_store,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
