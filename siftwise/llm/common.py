@@ -111,8 +111,8 @@ def offsets_before(counts: DataFrame, group: list[str], bucket: str, n: str, out
     return counts.select(*group, bucket, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(out))
 
 
-def gapless_rank(df: DataFrame, group: list[str], salt: Column, order: list[str], out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Number the rows of each group from 0 without gaps.
+def gapless_rank(df: DataFrame, group: list[str], salt: Column, order: list[str], out: str, buckets: int = RANK_BUCKETS, about: DataFrame | None = None) -> DataFrame:
+    """Number the rows of each group from 0 without gaps; about: columns by group to add (left join).
 
     A group is dealt over `buckets` salts, each is numbered by itself and shifted by the rows of
     the earlier ones, so that no task has to hold a hot group. group columns must not be null.
@@ -120,6 +120,8 @@ def gapless_rank(df: DataFrame, group: list[str], salt: Column, order: list[str]
     salted = df.withColumn("_salt", F.pmod(salt, F.lit(buckets)))
     counts = salted.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = offsets_before(counts, group, "_salt", "_n", "_before")
+    if about is not None:
+        before = before.join(about, group, "left")
     inner = Window.partitionBy(*group, "_salt").orderBy(*order)
     ranked = salted.withColumn("_rn", F.row_number().over(inner) - 1)
     return ranked.join(before, [*group, "_salt"]).withColumn(out, (F.col("_rn") + F.col("_before")).cast("long")).drop("_rn", "_before", "_salt")

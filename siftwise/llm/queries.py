@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_store, packing, phrase_dedup, simhash
+from . import chunk_store, kd_shards, mixing, packing, phrase_dedup, simhash
 from .common import table
 
 TOKENIZER_VARIABLE = "SIFTWISE_TOKENIZERS"
@@ -33,6 +33,14 @@ def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.sharded(table(spark, sf_dir, "documents"))
+
+
+def op6_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +52,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_phrase_dedup": op2_phrase_dedup,
+    "op5_kd_shards": op5_kd_shards,
+    "op6_budget_mixing": op6_budget_mixing,
     "op8_chunk_store": op8_chunk_store,
     "op9_simhash": op9_simhash,
 }
