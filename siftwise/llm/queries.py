@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_store, kd_shards, mixing, packing, phrase_dedup, simhash
+from . import chunk_store, kd_shards, mixing, packing, phrase_dedup, prefix_forest, simhash
 from .common import table
 
 TOKENIZER_VARIABLE = "SIFTWISE_TOKENIZERS"
@@ -33,6 +33,10 @@ def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.sharded(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_phrase_dedup": op2_phrase_dedup,
+    "op3_prefix_forest": op3_prefix_forest,
     "op5_kd_shards": op5_kd_shards,
     "op6_budget_mixing": op6_budget_mixing,
     "op8_chunk_store": op8_chunk_store,
