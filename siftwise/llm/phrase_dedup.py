@@ -47,9 +47,9 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word)
+        h = xxh64_intdigest(word)
+        if len(self) < CACHE:
+            self[word] = h
         return h
 
 
