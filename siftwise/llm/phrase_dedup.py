@@ -6,14 +6,15 @@ starts earlier (smaller doc_id, or same document and earlier start) are removed.
 1. Every window is filed under an anchor: the smallest hash among its short word grams. Equal
    windows have equal anchors, and neighbouring windows mostly share one, so a text has few
    segments (runs of windows with one anchor). Anchors seen once in the corpus end here.
-2. The words of segments with recurring anchors are cut out of the texts. Equal segments are
-   aggregated to their first place before anything else, so a passage in a third of all
-   documents is a few rows. A segment whose anchor has one content is a confirmed passage if it
-   recurs; where an anchor has several contents, their windows are counted one by one.
-3. Confirmed passages go, with their first place, to the shard of their anchor; segments go to
-   the same shard, those of a crowded anchor dealt over several copies of it. Each shard compiles
-   its passages into automata over word numbers, run by run, and streams the segments through
-   them: every occurrence but the first covers its words.
+2. The words of segments with recurring anchors are cut out of the texts. As long as the recurring
+   anchors are few enough to send to every task, that is one more pass; beyond that size, anchors
+   are joined to segments and segments to texts.
+3. Segments go to the shard of their anchor. There, passages that recur are confirmed by their
+   words, with the first place of each; passages are compiled into automata over word numbers,
+   run by run, and all segments are streamed through them: every occurrence but the first covers
+   its words.
+4. An anchor with very many segments is not for one task. Its windows are counted by aggregation,
+   equal segments first, and its segments are dealt over several shards, each with all passages.
 
 Documents are told apart by (doc_id, hash of id and text): a row that repeats another counts as
 the same document and gets the same result; a null doc_id comes last in the order. A null or
@@ -34,23 +35,14 @@ from . import common
 
 WINDOW, GRAM = 20, 6
 #: Occurrences of one anchor that a single group of a shard gets.
-CROWD = 10_000
+CROWD = 4096
+#: Recurring anchors that are sent to every task (16 bytes each); more are joined.
+SENT_ANCHORS = 2_000_000
 #: Words of passages in one automaton, and words of segments held before they are streamed.
 AUTOMATON_WORDS, STREAM_WORDS = 200_000, 400_000
-#: Word hashes a process keeps.
-CACHE = 300_000
-
 _PACK = 1 << 24  # first window * _PACK + number of windows
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        h = xxh64_intdigest(word)
-        if len(self) < CACHE:
-            self[word] = h
-        return h
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _least(values: np.ndarray, size: int) -> np.ndarray:
@@ -65,170 +57,277 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return at
 
 
-def segments(words: list[bytes], hashes: dict, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each segment of a text."""
-    n = len(words) - window + 1
-    if n < 1:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    gram = min(GRAM, window)
-    grams = np.zeros(len(words) - gram + 1, np.uint64)
-    for k in range(gram):
-        grams += h[k : k + len(grams)] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-    grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    grams ^= grams >> np.uint64(30)
-    place = _least(grams, window - gram + 1)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return grams[place[first]].view(np.int64), first, np.diff(np.append(first, n))
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []  # of _BASE and of its inverse
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes."""
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(data) and not blank[0]:
+        edge = np.append(0, edge)
+    if len(data) and not blank[-1]:
+        edge = np.append(edge, len(data))
+    return edge[::2], edge[1::2]
+
+
+class Texts:
+    """Words of a run of texts, and the segments of all their windows."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.flat = b"\n".join(texts)
+        data = np.frombuffer(self.flat, np.uint8)
+        self.begin, self.end = words_of(data)
+        sizes = np.array([len(t) + 1 for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        self.doc = np.searchsorted(starts, self.begin, "right") - 1
+        self.base = np.searchsorted(self.begin, starts)  # first word of each text
+        self.window = window
+        n = len(self.begin) - window + 1
+        self.anchor = self.first = self.size = np.empty(0, np.int64)
+        if n < 1:
+            return
+        power, inverse = _power(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+        h = (sums[self.end] - sums[self.begin]) * inverse[self.begin]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        gram = min(GRAM, window)
+        grams = np.zeros(len(h) - gram + 1, np.uint64)
+        for k in range(gram):
+            grams += h[k : k + len(grams)] * np.uint64(pow(_BASE, k + 1, 1 << 64))
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        grams ^= grams >> np.uint64(30)
+        place = _least(grams, window - gram + 1)[:n]
+        inside = self.doc[:n] == self.doc[window - 1 :]
+        new = np.append(True, (place[1:] != place[:-1]) | (self.doc[1:n] != self.doc[: n - 1]))
+        at = np.flatnonzero(inside & (new | np.append(True, ~inside[:-1])))
+        group = np.cumsum(np.bincount(at, minlength=n)) - 1
+        self.size = np.bincount(group[inside], minlength=len(at))
+        self.anchor, self.first = grams[place[at]].view(np.int64), at
+
+    def cut(self, first: int, size: int) -> bytes:
+        """Words of `size` windows from the word `first` on, joined by spaces."""
+        return b" ".join(self.flat[self.begin[first] : self.end[first + size + self.window - 2]].split())
 
 
 def _anchors(window: int, only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for b in batches:
-            found, counts = [], []
-            for t in common.binary_list(b.column("text")):
-                anchor, first, n = segments(t.split(), hashes, window)
-                found.append((anchor, first * _PACK + n))
-                counts.append(len(anchor))
-            anchor = pa.array(np.concatenate([f[0] for f in found]))
+        for b in common.slices(batches, "text", 1 << 20):
+            t = Texts(common.binary_list(b.column("text")), window)
+            anchor = pa.array(t.anchor)
             if only:
                 yield pa.RecordBatch.from_arrays([anchor], ["anchor"])
                 continue
-            at = np.repeat(np.arange(b.num_rows), counts)
-            yield pa.RecordBatch.from_arrays([anchor, b.column("doc_key").take(pa.array(at)), pa.array(np.concatenate([f[1] for f in found]))], ["anchor", "doc_key", "run"])
+            doc = t.doc[t.first]
+            yield pa.RecordBatch.from_arrays([anchor, b.column("doc_key").take(pa.array(doc)), pa.array((t.first - t.base[doc]) * _PACK + t.size)], ["anchor", "doc_key", "run"])
 
     return run
 
 
-def _cut_out(window: int):
-    """Words of the listed segments of each text. Rows with equal keys but other texts share lists, hence the check."""
+_CUT = pa.schema([("anchor", pa.int64()), ("seen", pa.int64()), ("content", pa.binary()), ("id_key", pa.int64()), ("doc_key", pa.int64()), ("first", pa.int64())])
+CUT = "anchor long, seen long, content binary, id_key long, doc_key long, first long"
+
+
+def _cut_known(window: int, known) -> object:
+    """Segments whose anchors are in the broadcast known: sorted anchors, and how often each was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        anchors, seen = known.value
         for b in common.slices(batches, "text", 1 << 20):
-            out: list[list] = [[], [], [], [], [], []]
+            t = Texts(common.binary_list(b.column("text")), window)
+            at = np.minimum(np.searchsorted(anchors, t.anchor), len(anchors) - 1)
+            hit = np.flatnonzero(anchors[at] == t.anchor) if len(anchors) else np.empty(0, np.int64)
+            first, doc = t.first[hit], t.doc[t.first[hit]]
+            contents = [t.cut(f, n) for f, n in zip(first.tolist(), t.size[hit].tolist(), strict=True)]
+            docs = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(t.anchor[hit]), pa.array(seen[at[hit]]), pa.array(contents, pa.binary()), b.column("id_key").take(docs), b.column("doc_key").take(docs), pa.array(first - t.base[doc])], schema=_CUT)
+
+    return run
+
+
+def _cut_listed(window: int):
+    """Segments listed for each text. Texts whose keys clash share lists: what does not fit is left out, the rest is told apart by its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text", 1 << 20):
+            rows = []
             for id_key, key, text, runs in zip(b.column("id_key").to_pylist(), b.column("doc_key").to_pylist(), common.binary_list(b.column("text")), b.column("runs").to_pylist(), strict=True):
                 words = text.split()
-                anchors, firsts, sizes = segments(words, hashes, window)
-                own = dict(zip(firsts.tolist(), zip(anchors.tolist(), sizes.tolist(), strict=True), strict=True))
                 for r in runs:
                     first, n = divmod(r["run"], _PACK)
-                    if own.get(first) != (r["anchor"], n):
-                        continue
-                    content = b" ".join(words[first : first + n - 1 + window])
-                    for c, v in zip(out, (r["anchor"], r["seen"], content, id_key, key, first), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["anchor", "seen", "content", "id_key", "doc_key", "first"])
+                    if first + n - 1 + window <= len(words):
+                        rows.append((r["anchor"], r["seen"], b" ".join(words[first : first + n - 1 + window]), id_key, key, first))
+            cols = list(zip(*rows, strict=True)) or [()] * len(_CUT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CUT.types, strict=True)], schema=_CUT)
 
     return run
 
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _CUT.append(pa.field("n", pa.int64()))
         for b in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+            rows = []
             for anchor, seen, content, place, n in zip(*(b.column(c).to_pylist() for c in ("anchor", "seen", "content", "place", "n")), strict=True):
                 words = content.split(b" ")
-                for k in range(len(words) - window + 1):
-                    row = (anchor, seen, b" ".join(words[k : k + window]), place["id_key"], place["doc_key"], place["first"] + k, n)
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["anchor", "seen", "content", "id_key", "doc_key", "first", "n"])
+                rows += [(anchor, seen, b" ".join(words[k : k + window]), place["id_key"], place["doc_key"], place["first"] + k, n) for k in range(len(words) - window + 1)]
+            cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     return run
 
 
+Place = tuple[int, int, int]  # id_key, doc_key, first word
+
+
 class _Shard:
-    """Passages of consecutive groups and the segments to be streamed through them."""
+    """Passages of consecutive groups, and the segments to be streamed through them."""
 
-    def __init__(self):
-        from ahocorasick import KEY_SEQUENCE, STORE_ANY, Automaton
+    def __init__(self, window: int):
+        self.window = window
+        self.covers: list[tuple] = []
+        self.clear()
 
-        self.new = lambda: Automaton(STORE_ANY, KEY_SEQUENCE)
+    def clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.passages: list[tuple[tuple, tuple]] = []  # word numbers; first place
-        self.waiting: list[tuple] = []
+        self.passages: list[tuple[tuple[int, ...], Place]] = []
+        self.waiting: list[tuple[bytes, list[Place]]] = []
         self.size = self.waiting_size = 0
         self.automaton = None
-        self.covers: list[tuple] = []
 
-    def passage(self, content: bytes, place: tuple) -> None:
+    def passage(self, content: bytes, place: Place) -> None:
         numbers = self.numbers
         words = tuple([numbers.setdefault(w, len(numbers) + 1) for w in content.split(b" ")])
         self.passages.append((words, place))
         self.size += len(words)
         self.automaton = None
 
-    def segment(self, content: bytes, place: tuple) -> None:
-        if not self.passages:
-            return
-        self.waiting.append((content, place))
-        self.waiting_size += content.count(b" ") + 1
-        if self.waiting_size >= STREAM_WORDS:
+    def segment(self, content: bytes, places: list[Place]) -> None:
+        self.waiting.append((content, places))
+        self.waiting_size += content.count(b" ") + len(places)
+
+    def confirm(self, found: dict[bytes, list[Place]]) -> None:
+        """Passages of one anchor, whose segments are all here, by content."""
+        if len(found) == 1:
+            (content, places), = found.items()
+            if len(places) == 1:
+                return
+            self.passage(content, min(places))
+        else:
+            first: dict[bytes, Place] = {}
+            again: set[bytes] = set()
+            for content, places in found.items():
+                words = content.split(b" ")
+                a, b, c = min(places)
+                for k in range(len(words) - self.window + 1):
+                    w = b" ".join(words[k : k + self.window])
+                    if w in first or len(places) > 1:
+                        again.add(w)
+                    first[w] = min(first.get(w, (a, b, c + k)), (a, b, c + k))
+            if not again:
+                return
+            for w in again:
+                self.passage(w, first[w])
+        for content, places in found.items():
+            self.segment(content, places)
+        if self.size >= AUTOMATON_WORDS:
             self.stream()
+            self.clear()
 
     def stream(self) -> None:
         """Locate all passages in the waiting segments."""
         if self.passages and self.waiting:
             if self.automaton is None:
-                self.automaton = self.new()
+                from ahocorasick import KEY_SEQUENCE, STORE_ANY, Automaton
+
+                self.automaton = Automaton(STORE_ANY, KEY_SEQUENCE)
                 for words, place in self.passages:
                     self.automaton.add_word(words, (len(words), place))
                 self.automaton.make_automaton()
             number = self.numbers.get
-            for content, (id_key, key, first) in self.waiting:
-                low = high = -1
+            for content, places in self.waiting:
                 coded = tuple([number(w, 0) for w in content.split(b" ")])  # 0: in no passage
-                for end, (n, place) in self.automaton.iter(coded):
-                    begin = first + end - n + 1
-                    if (id_key, key, begin) == place:
-                        continue
-                    if high >= begin - 1 and low >= 0:
-                        low, high = min(low, begin), max(high, first + end)
-                        continue
+                hits = [(end - n + 1, end + 1, place) for end, (n, place) in self.automaton.iter(coded)]
+                if not hits:
+                    continue
+                for id_key, key, at in places:
+                    low = high = -1
+                    for begin, end, place in hits:
+                        if place == (id_key, key, at + begin):
+                            continue
+                        if low >= 0 and begin <= high:
+                            low, high = min(low, begin), max(high, end)
+                            continue
+                        if low >= 0:
+                            self.covers.append((id_key, key, at + low, at + high))
+                        low, high = begin, end
                     if low >= 0:
-                        self.covers.append((id_key, key, low, high + 1))
-                    low, high = begin, first + end
-                if low >= 0:
-                    self.covers.append((id_key, key, low, high + 1))
+                        self.covers.append((id_key, key, at + low, at + high))
         self.waiting, self.waiting_size = [], 0
 
-    def next_group(self) -> None:
-        """Passages are kept over groups until they fill an automaton."""
-        if self.size >= AUTOMATON_WORDS:
-            self.stream()
-            self.passages, self.size, self.automaton, self.numbers = [], 0, None, {}
+    def take(self) -> pa.RecordBatch:
+        cols = list(zip(*self.covers, strict=True)) or [()] * 4
+        self.covers = []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id_key", "doc_key", "begin", "end"])
 
 
-def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard, now = _Shard(), None
+COVER = "id_key long, doc_key long, begin long, end long"
 
-    def covers() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        cols = list(zip(*shard.covers, strict=True)) or [()] * 4
-        shard.covers = []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id_key", "doc_key", "begin", "end"])
 
-    for b in batches:
-        for anchor, salt, kind, content, id_key, key, first in zip(*(b.column(c).to_pylist() for c in ("anchor", "salt", "kind", "content", "id_key", "doc_key", "first")), strict=True):
-            if (anchor, salt) != now:
-                now = (anchor, salt)
-                shard.next_group()
-            if kind == 0:
-                if shard.waiting and shard.automaton is not None:
+def _confirm_and_locate(window: int):
+    """All segments of an anchor are in one partition, in order; there are at most CROWD."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, now, found = _Shard(window), None, {}
+        for b in batches:
+            for anchor, content, id_key, key, first in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "id_key", "doc_key", "first")), strict=True):
+                if anchor != now:
+                    if found:
+                        shard.confirm(found)
+                    now, found = anchor, {}
+                found.setdefault(content, []).append((id_key, key, first))
+            if len(shard.covers) >= 10_000:
+                yield shard.take()
+        if found:
+            shard.confirm(found)
+        shard.stream()
+        yield shard.take()
+
+    return run
+
+
+def _locate(window: int):
+    """Rows of a group are its passages (kind 0), then its segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, now = _Shard(window), None
+        for b in batches:
+            for anchor, salt, kind, content, id_key, key, first in zip(*(b.column(c).to_pylist() for c in ("anchor", "salt", "kind", "content", "id_key", "doc_key", "first")), strict=True):
+                if (anchor, salt) != now:
                     shard.stream()
-                shard.passage(content, (id_key, key, first))
-            else:
-                shard.segment(content, (id_key, key, first))
-        if len(shard.covers) >= 10_000:
-            yield covers()
-    shard.stream()
-    yield covers()
+                    shard.clear()
+                    now = (anchor, salt)
+                if kind == 0:
+                    shard.passage(content, (id_key, key, first))
+                else:
+                    shard.segment(content, [(id_key, key, first)])
+                    if shard.waiting_size >= STREAM_WORDS:
+                        shard.stream()
+            if len(shard.covers) >= 10_000:
+                yield shard.take()
+        shard.stream()
+        yield shard.take()
+
+    return run
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,27 +349,42 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), *extra], ["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id_key, doc_key, begin, end): word ranges to remove. texts: id_key, doc_key, text."""
+def _recurring(texts: DataFrame, window: int) -> DataFrame:
+    """Segments with recurring anchors, as in CUT. texts: id_key, doc_key, text."""
+    spark = texts.sparkSession
     keyed = texts.select("doc_key", "text")
     seen = keyed.mapInArrow(_anchors(window, True), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    seen = common.checkpointed(seen)
+    if seen.count() <= SENT_ANCHORS:
+        rows = seen.toPandas().sort_values("anchor")
+        known = spark.sparkContext.broadcast((rows["anchor"].to_numpy(np.int64), rows["seen"].to_numpy(np.int64)))
+        return texts.mapInArrow(_cut_known(window, known), CUT)
     runs = keyed.mapInArrow(_anchors(window, False), "anchor long, doc_key long, run long").join(seen, "anchor")
     listed = runs.groupBy("doc_key").agg(F.collect_set(F.struct("anchor", "seen", "run")).alias("runs"))
     found = texts.join(listed, "doc_key").select("id_key", "doc_key", "text", "runs")
-    cut = found.mapInArrow(_cut_out(window), "anchor long, seen long, content binary, id_key long, doc_key long, first long")
-    contents = cut.groupBy("anchor", "seen", "content").agg(F.min(F.struct("id_key", "doc_key", "first")).alias("place"), F.count(F.lit(1)).alias("n"))
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    told = contents.join(kinds, "anchor")
-    alone = told.where("kinds = 1 and n > 1").select("anchor", "seen", "content", "place.*")
-    single = told.where("kinds > 1").select("anchor", "seen", "content", "place", "n").mapInArrow(_windows(window), "anchor long, seen long, content binary, id_key long, doc_key long, first long, n long")
-    mixed = single.groupBy("anchor", "seen", "content").agg(F.min(F.struct("id_key", "doc_key", "first")).alias("place"), F.sum("n").alias("n")).where("n > 1").select("anchor", "seen", "content", "place.*")
+    return found.mapInArrow(_cut_listed(window), CUT)
+
+
+def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(id_key, doc_key, begin, end): word ranges to remove. texts: id_key, doc_key, text."""
+    spark = texts.sparkSession
+    folder = common.new_folder(spark, "segments")
+    _recurring(texts, window).write.option("compression", "zstd").parquet(folder)
+    cut = spark.read.schema(CUT).parquet(folder)
+    few = cut.where(F.col("seen") <= CROWD).drop("seen")
+    near = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_confirm_and_locate(window), COVER)
+
+    many = cut.where(F.col("seen") > CROWD)
+    first = F.min(F.struct("id_key", "doc_key", "first")).alias("place")
+    contents = many.groupBy("anchor", "seen", "content").agg(first, F.count(F.lit(1)).alias("n"))
+    single = contents.mapInArrow(_windows(window), f"{CUT}, n long")
+    passages = single.groupBy("anchor", "seen", "content").agg(first, F.sum("n").alias("n")).where("n > 1").select("anchor", "seen", "content", "place.*")
     copies = F.ceil(F.col("seen") / CROWD).cast("int")
-    passages = alone.union(mixed).withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    streamed = cut.withColumn("salt", F.pmod(F.xxhash64("doc_key", "first"), copies).cast("int"))
     columns = ["anchor", "salt", "kind", "content", "id_key", "doc_key", "first"]
-    both = passages.withColumn("kind", F.lit(0)).select(columns).union(streamed.withColumn("kind", F.lit(1)).select(columns))
-    dealt = both.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "kind")
-    return dealt.mapInArrow(_locate, "id_key long, doc_key long, begin long, end long")
+    dealt = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("kind", F.lit(0)).select(columns)
+    dealt = dealt.union(many.withColumn("salt", F.pmod(F.xxhash64("doc_key", "first"), copies).cast("int")).withColumn("kind", F.lit(1)).select(columns))
+    far = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "kind").mapInArrow(_locate(window), COVER)
+    return common.checkpointed(near.union(far).distinct())
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
