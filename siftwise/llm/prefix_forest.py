@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES, BITS, RECALL = 40, 32, 0.985
+TREES, BITS, RECALL = 32, 32, 0.97
 #: Rows and queries of one block.
 ROWS, QUERIES = 8192, 1024
 SEED = 11
@@ -68,63 +68,89 @@ class Forest:
         self.order = np.argsort(hashed, axis=1, kind="stable")
         self.sorted = np.take_along_axis(hashed, self.order, axis=1)
 
-    def ranges(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(depths, trees, queries): where rows lie that share 0..bits leading bits. q: (trees, queries)."""
-        n = q.shape[1]
-        low, high = np.zeros((self.bits + 1, self.trees, n), np.int32), np.zeros((self.bits + 1, self.trees, n), np.int32)
-        for d in range(self.bits + 1):
-            keep = (0xFFFFFFFF << (self.bits - d)) & ((1 << self.bits) - 1)
-            first = q & np.uint32(keep)
-            last = first | np.uint32(~keep & ((1 << self.bits) - 1))
-            for t in range(self.trees):
-                low[d, t] = np.searchsorted(self.sorted[t], first[t], "left")
-                high[d, t] = np.searchsorted(self.sorted[t], last[t], "right")
-        return low, high
+    def longest(self, q: np.ndarray) -> np.ndarray:
+        """Length of each query's longest matching prefix in any tree. q: (trees, queries)."""
+        best = np.zeros(q.shape[1], np.int64)
+        for t in range(self.trees):
+            at = np.searchsorted(self.sorted[t], q[t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(self.ids) - 1)):
+                differ = (self.sorted[t][near] ^ q[t]).astype(np.float64)
+                best = np.maximum(best, self.bits - np.frexp(differ)[1])
+        return best
+
+    def ranges(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, queries): where rows lie that share the leading `depth` bits."""
+        keep = (0xFFFFFFFF << (self.bits - depth)) & ((1 << self.bits) - 1)
+        first = q & np.uint32(keep)
+        last = first | np.uint32(~keep & ((1 << self.bits) - 1))
+        low = np.stack([np.searchsorted(self.sorted[t], first[t], "left") for t in range(self.trees)])
+        return low, np.stack([np.searchsorted(self.sorted[t], last[t], "right") for t in range(self.trees)])
 
     def search(self, ids: np.ndarray, x: np.ndarray, flat: np.ndarray, k: int, recall: float) -> list[tuple[int, int, float]]:
         hashed = strings(x, flat, self.trees, self.bits)
         out = []
-        for at in range(0, len(ids), 128):
-            low, high = self.ranges(hashed[:, at : at + 128])
-            for j in range(low.shape[2]):
-                out += self._one(int(ids[at + j]), x[at + j], low[:, :, j], high[:, :, j], k, recall)
+        for at in range(0, len(ids), 256):
+            q = hashed[:, at : at + 256]
+            asked = [_Query(self, int(i), v, k, recall) for i, v in zip(ids[at : at + 256], x[at : at + 256], strict=True)]
+            start = self.longest(q)
+            for depth in range(int(start.max()), -1, -1):
+                own = [j for j, a in enumerate(asked) if start[j] >= depth and not a.done]
+                if not own:
+                    continue
+                low, high = self.ranges(q[:, own], depth)
+                for j, lo, hi in zip(own, low.T.tolist(), high.T.tolist(), strict=True):
+                    asked[j].look(depth, lo, hi)
+            for a in asked:
+                out += a.best()
         return out
 
-    def _one(self, own: int, q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, recall: float) -> list[tuple[int, int, float]]:
-        size = math.sqrt(float(q @ q))
-        seen = self.ids == own
-        # the deepest level at which some tree matches more than nothing
-        depth = int(np.flatnonzero((high > low).any(1))[-1])
-        rows, scores = [np.empty(0, np.int64)], [np.empty(0)]
-        while True:
-            mark = np.zeros(len(self.ids), bool)
-            for t in range(self.trees):
-                mark[self.order[t, low[depth, t] : high[depth, t]]] = True
-            new = np.flatnonzero(mark & ~seen)
-            if len(new):
-                seen[new] = True
-                rows.append(new)
-                scores.append(self.x[new] @ q)
-            if depth == 0:
-                break
-            total = np.concatenate(scores)
-            if len(total) >= k:
-                # the k-th best so far; a row of median length that scores so has this angle
-                bound = -np.partition(-total, k - 1)[k - 1]
-                found = np.concatenate(rows)
-                norm = float(self.norms[found[total >= bound]].max())
-                cosine = bound / (size * norm)
-                near = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-                if 1 - (1 - near**depth) ** self.trees >= recall:
-                    break
-            depth -= 1
-        found, total = np.concatenate(rows), np.concatenate(scores)
-        if len(total) > k:
-            bound = -np.partition(-total, k - 1)[k - 1]
+
+class _Query:
+    """What one query has met in a forest so far."""
+
+    def __init__(self, forest: Forest, own: int, q: np.ndarray, k: int, recall: float):
+        self.forest, self.own, self.q, self.k, self.recall = forest, own, q, k, recall
+        self.size = math.sqrt(float(q @ q))
+        self.seen = forest.ids == own
+        self.rows: list[np.ndarray] = []
+        self.scores: list[np.ndarray] = []
+        self.met, self.done = 0, False
+
+    def look(self, depth: int, low: list[int], high: list[int]) -> None:
+        """Score the rows of the trees' ranges at a depth, and see whether to ascend."""
+        f = self.forest
+        mark = np.zeros(len(f.ids), bool)
+        for order, a, b in zip(f.order, low, high, strict=True):
+            if b > a:
+                mark[order[a:b]] = True
+        mark &= ~self.seen
+        new = np.flatnonzero(mark)
+        if len(new):
+            self.seen |= mark
+            self.rows.append(new)
+            self.scores.append(f.x[new] @ self.q)
+            self.met += len(new)
+        if self.met < self.k or not depth:
+            return
+        total = np.concatenate(self.scores)
+        bound = -np.partition(-total, self.k - 1)[self.k - 1]
+        found = np.concatenate(self.rows)
+        norm = float(f.norms[found[total >= bound]].max())
+        # the chance that a bit is shared with a row at the angle of the k-th best
+        near = 1 - math.acos(max(-1.0, min(1.0, bound / (self.size * norm)))) / math.pi
+        self.done = 1 - (1 - near**depth) ** f.trees >= self.recall
+
+    def best(self) -> list[tuple[int, int, float]]:
+        if not self.met:
+            return []
+        f = self.forest
+        found, total = np.concatenate(self.rows), np.concatenate(self.scores)
+        if len(total) > self.k:
+            bound = -np.partition(-total, self.k - 1)[self.k - 1]
             found = found[total >= bound - 1e-9 * (abs(bound) + 1)]
-        best = exact(self.x[found], q)
-        order = np.lexsort((self.ids[found], -best))[:k]
-        return [(own, int(self.ids[found[i]]), float(best[i])) for i in order]
+        scores = exact(f.x[found], self.q)
+        order = np.lexsort((f.ids[found], -scores))[: self.k]
+        return [(self.own, int(f.ids[i]), float(v)) for i, v in zip(found[order], scores[order], strict=True)]
 
 
 def _search(k: int, trees: int, bits: int, recall: float):
