@@ -1,0 +1 @@
+"""A PySpark-native engine for semantic filters and training-data preparation."""

@@ -1 +1 @@
-
+"""Scalar rules as Spark column expressions."""

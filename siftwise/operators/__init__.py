@@ -1 +1 @@
-
+"""Relational operators of the semantic filter."""

@@ -1 +1 @@
-
+"""Plans composed of operators, and the registry of queries."""

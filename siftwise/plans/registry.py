@@ -1,11 +1,728 @@
-"""All registered queries of the semantic-filter engine."""
+"""All registered queries of the semantic-filter engine, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import confidence, parsing, prompts
+from ..operators import baselines, learners, metrics, prefix, retrieval, routing, sampling
+from ..sources import cache, experiences, points as pts, reports
+from ..streaming import online
+from . import cascade, oracle
+from . import simulated as sim
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _records(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return cascade.semantic_filter(sim.truths(s, d, "n_chars", *columns), sim.small, sim.large, routing.by_confidence(0.8))
+
+
+def _with_large(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Both models' verdicts for every point, and whether the confidence router escalates it."""
+    return routing.decide(sim.large(sim.small(sim.truths(s, d, "n_chars", *columns))), routing.by_confidence(0.8))
+
+
+def _metered(s: SparkSession, d: str) -> DataFrame:
+    out = _records(s, d)
+    zero = F.lit(0).cast("long")
+    sure = F.when(F.col("escalated"), F.col("small_in") * 2).otherwise(zero)
+    return out.withColumns({"verify_calls": F.col("escalated").cast("long"), "verify_in": sure, "verify_out": F.col("escalated").cast("long"), "large_in": F.when(F.col("escalated"), F.col("small_in") + 40).otherwise(zero), "large_out": F.col("escalated").cast("long")})
+
+
+def _point_vectors(s: SparkSession, d: str) -> DataFrame:
+    return sim.truths(s, d).join(sim.vectors(s, d), "doc_id").select("pos", "doc_id", "query_name", "vec")
+
+
+def _hits(s: SparkSession, d: str, k: int = 8) -> DataFrame:
+    docs = sim.vectors(s, d)
+    return retrieval.top_k(docs, sim.lessons(s, d), ["doc_id"], k)
+
+
+# ---- the filter itself
+
+@query
+def cascade_confidence(s: SparkSession, d: str) -> DataFrame:
+    return _records(s, d).select("doc_id", "query_name", "small_prediction", F.round("confidence", 6).alias("confidence"), "escalated", "large_prediction", "prediction", "ground_truth")
+
+
+@query
+def metrics_overall(s, d):
+    return metrics.binary(_records(s, d), [])
+
+
+@query
+def metrics_per_query(s, d):
+    r = _records(s, d)
+    return metrics.binary(r, ["query_name"]).join(metrics.escalation(r, ["query_name"]), "query_name")
+
+
+@query
+def all_small(s, d):
+    out = routing.final(routing.decide(sim.small(sim.truths(s, d)), routing.all_small()).withColumn("large_prediction", F.lit(None).cast("string")))
+    return metrics.binary(out, ["query_name"])
+
+
+@query
+def all_big(s, d):
+    return metrics.binary(cascade.all_large(sim.truths(s, d), sim.large), ["query_name"])
+
+
+# ---- points
+
+@query
+def points_ordered(s, d):
+    p = sim.truths(s, d, "text")
+    out = None
+    for order in pts.ORDERS:
+        one = sampling.ordered(p, ["query_name"], pts.order_key(order, 7)).select(F.lit(order).alias("ordering"), "query_name", "doc_id", F.col("order_no").cast("long").alias("order_no"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def limit_per_query(s, d):
+    return sampling.ordered(sim.truths(s, d, "text"), ["query_name"], pts.order_key("longest"), 25).select("query_name", "doc_id", F.col("order_no").cast("long").alias("order_no"))
+
+
+@query
+def point_scan(s, d):
+    docs = sim.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    pairs = sim.table(s, d, "labels").select(F.col("doc_id").alias("document_id"), F.expr("explode(array(struct('high_quality' AS query_name, CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS ground_truth), struct('unknown_query' AS query_name, CASE WHEN toxic = 1 THEN 'Yes' ELSE 'No' END AS ground_truth)))").alias("x")).select("document_id", "x.*")
+    p = pts.points(docs, pairs, sim.predicates(s).select("query_name", "query_description"))
+    return p.groupBy("query_name", "query_description", "ground_truth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def query_slice(s, d):
+    names = sim.truths(s, d).select("query_name")
+    slices = {"first": None, "prefix": "prefix", "all": "all", "list": "toxic, long_doc ,nothing"}
+    out = None
+    for k, wanted in slices.items():
+        one = pts.resolve(names, wanted, ("is_english", "toxic"), "h").select(F.lit(k).alias("slice"), "query_name")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def matrix_melt(s, d):
+    wide = sim.table(s, d, "labels").select(F.col("doc_id").alias("document_id"), F.when(F.col("quality") == 1, "Yes").otherwise("No").alias("high_quality"), F.when(F.col("toxic") == 1, "Yes").otherwise("No").alias("toxic"))
+    return pts.melt(wide)
+
+
+@query
+def manifest(s, d):
+    p = sim.truths(s, d).where("qid >= 3")
+    chosen = sampling.stratified(p, ["query_name", "ground_truth"], 0.3, 5, ["doc_id"])
+    return reports.manifest(p.select("doc_id", "query_name", "ground_truth"), sim.table(s, d, "documents").select("doc_id"), chosen)
+
+
+@query
+def layout(s, d):
+    p = sim.truths(s, d, "text").withColumn("gold", F.col("ground_truth"))
+    return reports.layout(p).select("query_name", F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform(F.slice("rows", 1, 20), lambda r: F.concat(r["doc_id"].cast("string"), F.lit(":"), r["gold"])), ",").alias("head"), "avg_tokens")
+
+
+# ---- scalar rules
+
+def _edge(s, d, values):
+    docs = sim.table(s, d, "documents").select("doc_id")
+    listed = F.array(*[F.lit(v) for v in values])
+    return docs.withColumn("raw", F.get(listed, (F.col("doc_id") % len(values)).cast("int")))
+
+
+@query
+def parse_yes_no(s, d):
+    return _edge(s, d, oracle.YES_NO).select("doc_id", parsing.parse_yes_no(F.col("raw")).alias("verdict"))
+
+
+@query
+def parse_3way(s, d):
+    return _edge(s, d, oracle.THREE).select("doc_id", parsing.parse_3way(F.col("raw")).alias("verdict"))
+
+
+@query
+def parse_zero_shot(s, d):
+    return _edge(s, d, oracle.ZERO_SHOT).select("doc_id", parsing.parse_zero_shot(F.col("raw")).alias("verdict"))
+
+
+@query
+def parse_predicate(s, d):
+    return _edge(s, d, oracle.YES_NO).select("doc_id", parsing.parse_leading_yes_no(F.col("raw")).alias("verdict"))
+
+
+@query
+def parse_json(s, d):
+    return _edge(s, d, oracle.JSON).select("doc_id", parsing.json_field(F.col("raw"), "lesson").alias("lesson"))
+
+
+@query
+def scan_logprobs(s, d):
+    p = sim.small(sim.truths(s, d))
+    top = F.array(*[F.struct(F.lit(t).alias("token"), F.col(c).alias("logprob")) for t, c in (("True", "lp_yes"), (" false", "lp_no"), ("Unsure", "lp_unsure"))])
+    words = F.array(F.struct(F.lit("So").alias("token"), F.lit(-0.1).alias("logprob"), F.slice(top, 1, 0).alias("top")), F.struct(F.lit("well").alias("token"), F.lit(-0.2).alias("logprob"), top.alias("top")))
+    at = confidence.scan(words)
+    return p.select("doc_id", "query_name", F.round(at["yes"], 6).alias("yes"), F.round(at["no"], 6).alias("no"), F.round(at["unsure"], 6).alias("unsure"))
+
+
+@query
+def features_2way(s, d):
+    p = sim.small(sim.truths(s, d))
+    known = F.col("h") % 7 != 0
+    f = confidence.features_2way(F.when(known, F.col("lp_yes")), F.when(known, F.col("lp_no")), F.lit("UNKNOWN"))
+    return p.withColumn("f", f).select("doc_id", "query_name", "f.prediction", *[F.round(f"f.{c}", 6).alias(c) for c in ("confidence", "p_yes", "p_no", "margin", "entropy")])
+
+
+@query
+def features_3way(s, d):
+    p = sim.small(sim.truths(s, d)).select("doc_id", "query_name", "lp_yes", "lp_no", "lp_unsure")
+    f = confidence.features_3way(F.col("lp_yes"), F.col("lp_no"), F.col("lp_unsure"), F.lit("UNKNOWN"))
+    p = p.withColumn("f", f).select("doc_id", "query_name", F.col("f.prediction").alias("small_prediction"), "f.*")
+    return p.select("doc_id", "query_name", "small_prediction", *[F.round(c, 6).alias(c) for c in ("confidence", "p_yes", "p_no", "p_unsure", "margin", "entropy_2way", "entropy_3way")])
+
+
+@query
+def features_collector(s, d):
+    p = sim.small(sim.truths(s, d))
+    some = lambda c, k: F.when(F.col("h") % k != 0, F.col(c))
+    f = confidence.collector_features(some("lp_yes", 3), some("lp_no", 2), some("lp_unsure", 5))
+    return p.withColumn("f", f).select("doc_id", "query_name", *[F.round(f"f.{c}", 6).alias(c) for c in ("p_true", "p_false", "p_unsure", "confidence", "entropy")])
+
+
+@query
+def point_features(s, d):
+    hits = retrieval.signals(_hits(s, d).withColumn("query_name", F.lit("toxic")), ["doc_id"])
+    p = sim.small(sim.truths(s, d, "text")).join(hits.select("doc_id", "n_hits", "max_cos", "mean_cos"), "doc_id", "left")
+    return p.select("doc_id", "query_name", F.array_join(F.transform(routing.point_features(), lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("features"))
+
+
+@query
+def s_entropy(s, d):
+    p = sim.small(sim.truths(s, d)).withColumn("p_yes", F.when(F.col("h") % 11 != 0, F.col("p_yes")))
+    return p.select("doc_id", "query_name", F.round(confidence.renormalised_entropy(F.col("p_yes"), F.col("p_no")), 6).alias("s_entropy"))
+
+
+@query
+def z_label(s, d):
+    r = _with_large(s, d).withColumn("large_prediction", F.when(F.col("h") % 13 != 0, F.col("large_prediction")))
+    return r.select("doc_id", "query_name", confidence.agreement(F.col("small_prediction"), F.col("large_prediction")).alias("z"))
+
+
+@query
+def clipped_sigmoid(s, d):
+    p = sim.small(sim.truths(s, d))
+    return p.select("doc_id", "query_name", F.round(confidence.clipped_sigmoid((F.col("lp_yes") - F.col("lp_no")) * 5), 6).alias("p"))
+
+
+@query
+def synthetic_ids(s, d):
+    p = sim.truths(s, d).withColumn("predicate", F.concat(F.lit(" "), F.col("query_name"), F.lit(" ")))
+    a, b, c = experiences.synthetic_ids()
+    return p.select("doc_id", "query_name", a.alias("synthq"), b.alias("md"), c.alias("dc"), experiences.experience_id().alias("experience_id"))
+
+
+# ---- prompts
+
+def _demos(s, d):
+    return F.array(F.struct(F.lit("a first text").alias("text"), F.lit("Yes").alias("label")), F.struct(F.lit("a second text").alias("text"), F.lit("No").alias("label")))
+
+
+def _prompted(s, d):
+    names = sim.predicates(s).select("query_name", "query_description")
+    return sim.truths(s, d, "text").join(F.broadcast(names), "query_name").withColumn("text", F.substring("text", 1, 200))
+
+
+@query
+def prompt_small(s, d):
+    lessons = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("Look at the title."), F.lit("Ignore quotes."))).otherwise(F.array().cast("array<string>"))
+    m = prompts.chat(F.col("query_description"), F.col("text"), lessons, _demos(s, d), "three")
+    return _prompted(s, d).select("doc_id", "query_name", F.md5(prompts.rendered(m)).alias("prompt_md5"), F.size(m).cast("long").alias("n_messages"))
+
+
+@query
+def prompt_two_way(s, d):
+    m = prompts.chat(F.col("query_description"), F.col("text"), F.array().cast("array<string>"), F.slice(_demos(s, d), 1, 1), "two")
+    return _prompted(s, d).select("doc_id", "query_name", F.md5(prompts.rendered(m)).alias("prompt_md5"))
+
+
+@query
+def prompt_verify(s, d):
+    p = prompts.verify(F.array(F.lit("demo one"), F.lit("demo two")), F.col("query_description"), F.col("text"), F.lit("Yes"), longest=80)
+    return _prompted(s, d).select("doc_id", "query_name", F.md5(p).alias("prompt_md5"))
+
+
+@query
+def prompt_lesson(s, d):
+    c, t = F.col("query_description"), F.col("text")
+    return _prompted(s, d).select("doc_id", "query_name", F.md5(prompts.explain(c, t, F.lit("No"))).alias("explain_md5"), F.md5(prompts.lesson(c, t, F.lit("No"), F.lit("Yes"), F.lit("because"))).alias("lesson_md5"))
+
+
+@query
+def prompt_predicate(s, d):
+    t = F.col("text")
+    return _prompted(s, d).select("doc_id", "query_name", F.md5(prompts.predicate_from_pair(t, F.reverse(t))).alias("pair_md5"), F.md5(prompts.instruction(F.lit("Read {"), t, F.lit("}."))).alias("task_md5"))
+
+
+# ---- cache
+
+def _cache_rows(s, d):
+    docs = sim.table(s, d, "documents").select("doc_id", "lang", "n_chars")
+    one = lambda no, keep, pred, raw: docs.where(keep).select(F.lit("is_english").alias("query_name"), F.when(F.col("doc_id") % 29 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), pred.alias("prediction"), raw.alias("raw"), F.lit(no).alias("source_no"), F.col("n_chars").alias("line_no"))
+    first = one(1, F.col("doc_id") % 3 != 0, F.when(F.col("lang") == "en", "Yes").otherwise("No"), F.lit("first"))
+    second = one(2, F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 2 == 0, "UNKNOWN").otherwise(F.lit("  ")), F.lit("No, it is not."))
+    return first.union(second)
+
+
+@query
+def cache_last_wins(s, d):
+    return cache.merge(_cache_rows(s, d))
+
+
+@query
+def cache_probe(s, d):
+    p = sim.truths(s, d).where("qid = 0").select("query_name", "doc_id")
+    return cache.probe(p, cache.merge(_cache_rows(s, d)))
+
+
+@query
+def cache_misses(s, d):
+    p = sim.truths(s, d).where("qid <= 1").select("query_name", "doc_id")
+    return cache.misses(p, cache.merge(_cache_rows(s, d)))
+
+
+@query
+def cache_stats(s, d):
+    merged = cache.merge(_cache_rows(s, d))
+    return cache.stats(cache.probe(sim.truths(s, d).where("qid <= 1"), merged), merged).withColumn("stores", F.col("stores").cast("long"))
+
+
+@query
+def cascade_cached(s, d):
+    r = cascade.semantic_filter(sim.truths(s, d), sim.small, sim.large, routing.by_confidence(0.8), cache.merge(_cache_rows(s, d)))
+    return r.groupBy("query_name").agg(F.count_if("from_cache").alias("from_cache"), F.count_if(F.col("escalated") & ~F.col("from_cache")).alias("live"), F.count_if(F.col("prediction") == F.col("ground_truth")).alias("correct"))
+
+
+# ---- cost and reports
+
+@query
+def token_summary(s, d):
+    return metrics.tokens(_metered(s, d))
+
+
+@query
+def cost_usd(s, d):
+    return metrics.cost(_metered(s, d), ["query_name"])
+
+
+@query
+def cost_abort(s, d):
+    return prefix.until_cost(_metered(s, d).select("pos", "doc_id", "query_name", "escalated", "small_in", "small_out", "large_in"), metrics.point_cost(), 0.02).select("pos", "doc_id", "query_name", F.round("spent", 9).alias("spent"))
+
+
+@query
+def timing_summary(s, d):
+    r = _records(s, d).withColumns({"t_small": (F.col("h") % 50) / 100.0, "t_large": F.when(F.col("escalated"), (F.col("h") % 30) / 10.0), "t_retrieve": (F.col("doc_id") % 10) / 1000.0})
+    return metrics.timings(r, ["t_small", "t_large", "t_retrieve"])
+
+
+@query
+def frontier_delta(s, d):
+    r = metrics.binary(_records(s, d), ["query_name"]).select(F.col("query_name").alias("name"), "accuracy").join(metrics.escalation(_records(s, d), ["query_name"]).select(F.col("query_name").alias("name"), "escalation_rate"), "name")
+    f = s.createDataFrame([(0.1, 0.7), (0.4, 0.8), (0.45, 0.86), (0.9, 0.95)], "esc double, acc double")
+    return metrics.frontier_delta(r.select("name", F.col("escalation_rate").alias("esc"), F.col("accuracy").alias("acc")), f)
+
+
+@query
+def call_log_summary(s, d):
+    r = _metered(s, d)
+    log = r.select(F.when(F.col("doc_id") % 4 == 0, "discover").otherwise("apply").alias("phase"), F.when(F.col("escalated"), "large").otherwise("small").alias("model"), F.col("query_name").alias("kind"), F.col("small_in").alias("tokens_in"), F.col("small_out").alias("tokens_out"), (F.col("small_in") * 1e-8).alias("usd"))
+    return metrics.calls(log)
+
+
+@query
+def variant_summary(s, d):
+    r = _records(s, d).select("query_name", "prediction", "ground_truth", (F.col("doc_id") % 5 == 0).alias("is_test"), F.when(F.col("escalated"), "deep").otherwise("plain").alias("variant"), F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.95).alias("alpha"))
+    return metrics.variants(r)
+
+
+# ---- retrieval
+
+def _doc_hits(h):
+    return h.select("doc_id", "experience_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def topk_cosine(s, d):
+    return _doc_hits(_hits(s, d))
+
+
+@query
+def topk_same_query(s, d):
+    h = retrieval.top_k(_point_vectors(s, d), sim.lessons(s, d), ["query_name", "doc_id"], 3, same_query=True)
+    return h.select("query_name", "doc_id", "experience_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("long").alias("rank"))
+
+
+def _counters(s, d):
+    return sim.lessons(s, d).select("experience_id", (F.col("source_doc_id") % 7).alias("pos"), (F.col("source_doc_id") % 4).alias("neg"))
+
+
+@query
+def helpfulness_rerank(s, d):
+    h = retrieval.by_helpfulness(_hits(s, d, 16), _counters(s, d), ["doc_id"], 8)
+    return h.select("doc_id", "experience_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def mmr_select(s, d):
+    scored = retrieval.scored(sim.vectors(s, d), sim.lessons(s, d)).drop("vec").join(sim.lessons(s, d).select("experience_id", F.col("vec").alias("exp_vec")), "experience_id")
+    short = retrieval.best(scored, ["doc_id"], "cos", "experience_id", 6).drop("rank")
+    return retrieval.mmr(short.select("doc_id", "experience_id", "cos", "exp_vec"), ["doc_id"], 2, 0.7).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def weighted_draw(s, d):
+    h = retrieval.draw(_hits(s, d, 16).drop("rank"), ["doc_id"], F.greatest((F.col("cos") + 1) / 2, F.lit(0.0)), "experience_id", 4, 3)
+    return h.select("doc_id", "experience_id", "rank")
+
+
+@query
+def fewshot_topk(s, d):
+    docs = _point_vectors(s, d).where("doc_id < 400 and query_name in ('high_quality', 'toxic')")
+    known = sim.small(sim.truths(s, d)).select("pos", F.col("small_prediction").alias("prediction"), F.when(F.col("h") % 2 == 0, "large").otherwise("small").alias("produced_by"))
+    r = docs.join(known, "pos")
+    h = retrieval.demonstrations(docs, r, 2, ("large",))
+    return h.select("query_name", "doc_id", "demo_doc", "label", F.round("cos", 6).alias("cos"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def bm25_idf(s, d):
+    return retrieval.bm25_corpus(sim.table(s, d, "documents"))
+
+
+@query
+def bm25_score(s, d):
+    return retrieval.bm25(sim.table(s, d, "documents"), sim.lessons(s, d))
+
+
+@query
+def phi_static(s, d):
+    p = _point_vectors(s, d).where("query_name = 'toxic'")
+    hits = retrieval.top_k(p, sim.lessons(s, d), ["query_name", "doc_id"], 4)
+    return retrieval.static_features(hits.join(sim.lessons(s, d).select("experience_id", "source_doc_id"), "experience_id"))
+
+
+@query
+def router_signals(s, d):
+    p = _point_vectors(s, d)
+    return retrieval.signals(retrieval.top_k(p, sim.lessons(s, d), ["query_name", "doc_id"], 8), ["query_name", "doc_id"])
+
+
+@query
+def router_vector(s, d):
+    h = _hits(s, d, 4).withColumn("phi", F.array(*[F.lit(float(i)) * F.col("cos") for i in range(len(retrieval.PHI))])).withColumn("p", (F.col("cos") + 1) / 2)
+    mean = retrieval.mean_features(h, ["doc_id"])
+    seen = retrieval.signals(_hits(s, d).withColumn("query_name", F.lit("toxic")), ["doc_id"]).select("doc_id", "n_hits", "max_cos", "mean_cos")
+    p = sim.small(sim.truths(s, d, "text")).where("qid = 0").join(seen, "doc_id").join(mean.where("doc_id % 3 <> 0"), "doc_id", "left")
+    v = retrieval.router_vector(routing.point_features(), F.col("mean_phi"), F.col("mean_p"))
+    return p.select("doc_id", F.size(v).cast("long").alias("width"), F.round(F.get(v, F.lit(20)), 4).alias("v20"), F.round(F.element_at(v, -1), 4).alias("mean_p"))
+
+
+# ---- prefix state
+
+@query
+def query_history(s, d):
+    return prefix.history(_with_large(s, d), "query_name", "query").select("pos", "query_name", F.col("n_query").cast("long").alias("n_query"), F.col("agree_query").cast("long").alias("agree_query"), "query_seen", "query_rate")
+
+
+@query
+def doc_history(s, d):
+    return prefix.history(_with_large(s, d), "doc_id", "doc").select("pos", "doc_id", F.col("n_doc").cast("long").alias("n_doc"), F.col("agree_doc").cast("long").alias("agree_doc"), "doc_seen", "doc_rate")
+
+
+@query
+def position_gate(s, d):
+    return prefix.gate(_with_large(s, d), 1.5, 1 << 30).select("pos", "query_name", F.col("t").cast("long").alias("t"), "n_q", "trigger")
+
+
+@query
+def generation_cap(s, d):
+    return prefix.gate(_with_large(s, d), 0.5, 5).where("trigger").select("pos", "query_name", "doc_id")
+
+
+@query
+def stream_position(s, d):
+    r = prefix.position(sim.truths(s, d).withColumn("_all", F.lit(0)), ["_all"], "pos")
+    n = sim.truths(s, d).agg(F.count(F.lit(1)).alias("total"))
+    return r.join(n).select("pos", F.round(F.least(F.col("t") / F.col("total"), F.lit(1.0)), 6).alias("stream_pos"))
+
+
+@query
+def helpfulness_counters(s, d):
+    h = _hits(s, d).join(_with_large(s, d).where("escalated").select("doc_id", "query_name", "small_prediction", F.col("large_prediction").alias("final")), "doc_id")
+    return metrics.helpfulness(h, ["experience_id", "query_name"])
+
+
+@query
+def usage_recordings(s, d):
+    h = retrieval.top_k(_point_vectors(s, d), sim.lessons(s, d), ["query_name", "doc_id"], 4)
+    return metrics.usage(h.select("experience_id", "query_name", F.col("rank").cast("long").alias("rank")))
+
+
+@query
+def trigger_usage(s, d):
+    t = prefix.gate(_with_large(s, d), 0.5, 40).where("trigger").select("query_name", "doc_id")
+    installs = t.where("doc_id % 2 = 0").withColumn("experience_id", F.format_string("exp_%03d", (F.col("doc_id") % 40)))
+    used = metrics.usage(_hits(s, d).withColumn("query_name", F.lit("x")).select("experience_id", "query_name", "rank")).select("experience_id", "times_retrieved")
+    return metrics.triggers_with_use(t, installs, used)
+
+
+@query
+def loo_variants(s, d):
+    sets = _hits(s, d, 3).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "experience_id"))), lambda x: x["experience_id"]).alias("ids"))
+    return retrieval.leave_one_out(sets).select("doc_id", F.col("left_out").cast("long").alias("left_out"), "without", F.array_join("kept", ",").alias("kept"))
+
+
+# ---- sampling
+
+@query
+def stratified_sample(s, d):
+    return sampling.stratified(sim.truths(s, d), ["query_name", "ground_truth"], 0.15, 3, ["doc_id"]).select("query_name", "ground_truth", "doc_id")
+
+
+@query
+def two_phase_split(s, d):
+    return sampling.two_phases(sim.truths(s, d), ["query_name"], 0.6, 11, ["doc_id"]).select("query_name", "doc_id", "phase")
+
+
+@query
+def seed_until_both(s, d):
+    p = sim.truths(s, d).withColumn("label", F.col("truth").cast("int"))
+    return sampling.until_both(p, ["query_name"], 4, 3, ["doc_id"]).select("query_name", "doc_id", F.col("order_no").cast("long").alias("order_no"))
+
+
+@query
+def acq_distribution(s, d):
+    p = sim.small(sim.truths(s, d)).withColumn("score", F.col("confidence") - 0.6)
+    return sampling.acquisition(p, ["query_name"], "score", 0.1).select("query_name", "doc_id", F.round(F.col("q") * 1000, 6).alias("q_milli"))
+
+
+@query
+def ips_weights(s, d):
+    p = sampling.acquisition(sim.small(sim.truths(s, d)).withColumn("score", 1 - F.col("confidence")), ["query_name"], "score", 0.2)
+    return sampling.importance(p, ["query_name"]).select("query_name", "doc_id", F.round("weight", 6).alias("weight"))
+
+
+@query
+def conf_cap(s, d):
+    p = sim.small(sim.truths(s, d)).withColumn("confidence", F.round("confidence", 6))
+    return sampling.under_confidence(p, ["query_name"], 0.5, 120, "doc_id").select("query_name", "doc_id", "confidence")
+
+
+@query
+def surest_batch(s, d):
+    p = sim.small(sim.truths(s, d)).withColumn("p", F.round("p_yes", 6))
+    return sampling.surest(p, ["query_name"], "p", "doc_id", 20).select("query_name", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- routers
+
+@query
+def automix_threshold(s, d):
+    p = sim.small(sim.truths(s, d))
+    votes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when((F.col("h") + i * 13) % 5 < 3, "The answer is Correct").when((F.col("h") + i * 13) % 5 == 3, "incorrect").otherwise("hm"))
+    out = routing.decide(p.withColumn("verify_score", F.round(routing.verify_score(votes), 6)), routing.by_verification(0.75))
+    return out.select("doc_id", "query_name", "verify_score", "escalated")
+
+
+@query
+def router_bootstrap(s, d):
+    return routing.decide(sim.small(sim.truths(s, d)), routing.learned(0.5, trained=False)).select("doc_id", "query_name", "escalated")
+
+
+@query
+def router_veto(s, d):
+    p = sim.small(sim.truths(s, d)).withColumn("p_agree", F.when(F.col("h") % 17 != 0, (F.col("h") % 100) / 100.0))
+    return routing.decide(p, routing.learned(0.6, veto=0.85)).select("doc_id", "query_name", "escalated")
+
+
+@query
+def detector_meta(s, d):
+    return routing.detector_counts(sim.small(sim.truths(s, d)).withColumn("p_agree", F.when(F.col("h") % 17 != 0, 0.5)))
+
+
+def _router_rows(s, d):
+    r = _with_large(s, d, "text")
+    return r.withColumn("features", routing.point_features() if "n_hits" in r.columns else F.array("confidence", "p_yes", "p_no", "p_unsure", "margin", "entropy_2way", "entropy_3way")).withColumn("z", confidence.agreement(F.col("small_prediction"), F.col("large_prediction")))
+
+
+def _fitted(s, d, kind, calibrate=False):
+    rows = sampling.two_phases(_router_rows(s, d), ["query_name"], 0.6, 1, ["doc_id"])
+    model = learners.fit_router(rows.where("phase = 1"), kind, calibrate=calibrate)
+    out = learners.predict(model, rows.where("phase = 2"))
+    return out.select("doc_id", "query_name", "z", F.round("p_agree", 6).alias("p_agree"), (F.col("p_agree") < 0.5).alias("escalated"))
+
+
+@query
+def router_gbt(s, d):
+    return _fitted(s, d, "gbt")
+
+
+@query
+def router_logistic(s, d):
+    return _fitted(s, d, "logistic", calibrate=True)
+
+
+# ---- comparison cascades
+
+def _ladder_rows(s, d):
+    p = sim.large(sim.small(sim.truths(s, d)))
+    odds = F.col("lp_yes") - F.col("lp_no")
+    return p.withColumns({"odds0": odds, "odds1": odds * 2 + F.when(F.col("h") % 3 == 0, 4.0).otherwise(-1.0), "large": (F.col("large_prediction") == "Yes").cast("int"), "truth": F.col("truth").cast("int")})
+
+
+@query
+def scaledoc_histogram(s, d):
+    return baselines.histogram(_ladder_rows(s, d), ["query_name"], "p_yes", 0.0, 1.0)
+
+
+@query
+def scaledoc_sweep(s, d):
+    return baselines.band_sweep(_ladder_rows(s, d), ["query_name"], "p_yes", [i / 32 for i in range(33)], [i / 10 for i in range(1, 11)])
+
+
+@query
+def best_threshold(s, d):
+    return baselines.best_threshold(_ladder_rows(s, d).withColumn("x", F.round("p_yes", 4)), ["query_name"], "x")
+
+
+@query
+def stretto_simulate(s, d):
+    out = baselines.ladder(_ladder_rows(s, d), [("odds0", -2.0, 2.5, True), ("odds0", 0.0, 0.0, False), ("odds1", -1.0, 3.0, True)])
+    return out.select("doc_id", "query_name", F.col("rung").cast("long").alias("rung"), F.col("verdict").cast("long").alias("verdict"))
+
+
+@query
+def rung_counts(s, d):
+    out = baselines.ladder(_ladder_rows(s, d), [("odds0", -2.0, 2.5, True), ("odds1", -1.0, 3.0, True)])
+    return out.groupBy("query_name", F.col("rung").cast("long").alias("rung")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def uqe_served(s, d):
+    p = sim.large(sim.small(sim.truths(s, d))).withColumns({"labelled": F.col("doc_id") % 4 == 0, "proxy": F.round("p_yes", 6), "large_prediction": F.when(F.col("h") % 19 == 0, "UNKNOWN").otherwise(F.col("large_prediction"))})
+    return baselines.served(p).select("doc_id", "query_name", "served")
+
+
+@query
+def lightproxy_outcomes(s, d):
+    p = sim.large(sim.small(sim.truths(s, d))).withColumns({"probed": F.col("doc_id") % 5 == 0, "proxy": F.round("p_yes", 6)})
+    return baselines.proxy_outcomes(p, ["query_name"], 0.8)
+
+
+@query
+def taskcascade_replay(s, d):
+    p = sim.large(sim.small(sim.truths(s, d)))
+    one = lambda name, x: p.select("doc_id", "query_name", F.lit(name).alias("stage"), F.when(x >= 0.5, "Yes").otherwise("No").alias("prediction"), F.greatest(x, 1 - x).alias("confidence"), "large_prediction")
+    rows = one("a", F.round("p_yes", 6)).union(one("b", F.round(1 - F.col("p_no"), 6)))
+    stages = s.createDataFrame([("a", 1, 0.8, 0.9), ("b", 2, 0.7, 0.75)], "stage string, stage_no int, yes_at double, no_at double")
+    return baselines.replay(rows, stages, ["doc_id", "query_name"])
+
+
+@query
+def cascade_against_gold(s, d):
+    r = _with_large(s, d)
+    return metrics.against_gold(routing.final(r), ["query_name"])
+
+
+@query
+def stretto_threshold_fit(s, d):
+    rows = sampling.stratified(_ladder_rows(s, d), ["query_name", "large"], 0.2, 2, ["doc_id"]).select("query_name", F.round("odds0", 6).alias("x"), "large")
+
+    def fit(pdf):
+        low, high, share = baselines.fit_one_rung(list(zip(pdf["x"], pdf["large"], strict=True)), 0.8, 0.8, 0.9)
+        return pdf.head(1)[["query_name"]].assign(low=low, high=high, settled=share)
+
+    return rows.groupBy("query_name").applyInPandas(fit, "query_name string, low double, high double, settled double")
+
+
+# ---- learners in order
+
+def _observed(s, d, n=200):
+    r = _with_large(s, d).where("escalated").where(F.col("doc_id") < n)
+    return r.select("pos", "query_name", (F.col("small_prediction") == F.col("large_prediction")).cast("int").alias("y"), F.array("confidence", "p_yes", "p_no", "entropy_3way").alias("phi"))
+
+
+def _folded(s, d, make, step, show):
+    """One learner over all observations of a predicate, in order; a group is a predicate's escalations."""
+    rows = _observed(s, d, 1 << 62)
+
+    def fold(pdf):
+        model = make()
+        for y, phi in zip(pdf.sort_values("pos")["y"], pdf.sort_values("pos")["phi"], strict=True):
+            step(model, np.asarray(phi, float), float(y))
+        return pdf.head(1)[["query_name"]].assign(n=len(pdf), weights=[[round(float(x), 6) for x in show(model)]])
+
+    return rows.groupBy("query_name").applyInPandas(fold, "query_name string, n long, weights array<double>")
+
+
+@query
+def care_fold(s, d):
+    return _folded(s, d, lambda: learners.LogisticHead.new(4), lambda m, phi, y: m.update(phi, y), lambda m: m.mean)
+
+
+@query
+def linucb_fold(s, d):
+    return _folded(s, d, lambda: learners.LinearBandit.new(4), lambda m, phi, y: m.update(phi, y), lambda m: m.a_inv @ m.b)
+
+
+@query
+def care_pq_fold(s, d):
+    return _folded(s, d, lambda: learners.SharedHeads(4), lambda m, phi, y: m.observe("q", phi[None], bool(y)), lambda m: [*m.whole.mean, m.share("q")])
+
+
+@query
+def online_run(s, d):
+    r = online.run(sim.truths(s, d), sim.small, sim.large, 0.8, 4)
+    return metrics.binary(r, ["query_name"]).join(metrics.escalation(r, ["query_name"]), "query_name")
+
+
+@query
+def online_single_epoch(s, d):
+    """One epoch is the batch plan: the same result as metrics_per_query."""
+    r = online.run(sim.truths(s, d), sim.small, sim.large, 0.8, 1)
+    return metrics.binary(r, ["query_name"]).join(metrics.escalation(r, ["query_name"]), "query_name")
+
+
+@query
+def kmeans_pairs(s, d):
+    """Pairs of documents from different clusters, for predicates that tell them apart."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    docs = sim.vectors(s, d).withColumn("features", array_to_vector("vec"))
+    model = KMeans(k=5, seed=1, maxIter=10).fit(docs)
+    told = model.transform(docs).select("doc_id", F.col("prediction").alias("cluster"))
+    picked = sampling.ordered(told, ["cluster"], [sampling.digest(3, "doc_id").asc()], 6)
+    right = picked.select(F.col("doc_id").alias("other_id"), ((F.col("cluster") + 4) % 5).alias("cluster"), "order_no")
+    return picked.join(right, ["cluster", "order_no"]).select("doc_id", "other_id", "cluster")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade_confidence(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in QUERIES}
