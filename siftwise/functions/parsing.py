@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def first_line(raw: Column) -> Column:
-    return F.lower(F.trim(F.element_at(F.split(F.trim(F.coalesce(raw, F.lit(""))), "\n"), 1)))
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", "")
+    return F.lower(F.trim(F.element_at(F.split(text, "\n"), 1)))
 
 
 def parse_yes_no(raw: Column) -> Column:

@@ -48,27 +48,32 @@ def _g() -> Column:
     return (F.col("doc_id") * 31 + F.col("qid") * 17) % 100
 
 
+def answered(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that plans above take as they are, as with a model's answers.
+
+    Filters do not move below a generator's output, so no condition on an answer turns into the
+    whole computation of it, once for each mention.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def small(points: DataFrame) -> DataFrame:
     """points with the small model's log-probabilities and features."""
-    out = points.withColumn("h", _h())
-    says = F.when(F.col("h") < 150, ~F.col("truth")).otherwise(F.col("truth"))
-    out = out.withColumn("small_says", says).withColumn("lp_top", -(F.col("h") % 50) / 100.0)
-    out = out.withColumn("lp_alt", F.col("lp_top") - (2 + F.col("h") % 40) / 10.0)
-    out = out.withColumn("lp_unsure", F.when((F.col("h") >= 150) & (F.col("h") < 250), F.col("lp_top") + 0.5).otherwise(F.col("lp_top") - 3.0))
-    out = out.withColumn("lp_yes", F.when(F.col("small_says"), F.col("lp_top")).otherwise(F.col("lp_alt"))).withColumn("lp_no", F.when(F.col("small_says"), F.col("lp_alt")).otherwise(F.col("lp_top")))
-    # step by step: one expression of all features would repeat its parts many times over
+    out = answered(points, h=_h())
+    out = answered(out, says=F.when(F.col("h") < 150, ~F.col("truth")).otherwise(F.col("truth")), lp_top=-(F.col("h") % 50) / 100.0)
+    out = answered(out, lp_alt=F.col("lp_top") - (2 + F.col("h") % 40) / 10.0, lp_unsure=F.when((F.col("h") >= 150) & (F.col("h") < 250), F.col("lp_top") + 0.5).otherwise(F.col("lp_top") - 3.0))
+    pick = lambda a, b: F.when(F.col("says"), F.col(a)).otherwise(F.col(b))
+    out = answered(out, lp_yes=pick("lp_top", "lp_alt"), lp_no=pick("lp_alt", "lp_top"))
     top = F.greatest("lp_yes", "lp_no", "lp_unsure")
-    out = out.withColumns({f"_{c}": F.exp(F.col(f"lp_{c}") - top) for c in ("yes", "no", "unsure")}).withColumn("_all", F.col("_yes") + F.col("_no") + F.col("_unsure"))
-    out = out.withColumns({f"p_{c}": F.col(f"_{c}") / F.col("_all") for c in ("yes", "no", "unsure")})
-    out = out.withColumns({f"_l_{c}": F.log(F.col(f"p_{c}")) for c in ("yes", "no", "unsure")}).withColumn("_pair", F.col("p_yes") + F.col("p_no"))
-    share = F.col("p_yes") / F.col("_pair")
-    out = out.withColumns({
-        "small_prediction": F.when((F.col("p_yes") >= F.col("p_no")) & (F.col("p_yes") >= F.col("p_unsure")), "Yes").when(F.col("p_no") >= F.col("p_unsure"), "No").otherwise("Unsure"),
-        "confidence": F.greatest("p_yes", "p_no"), "margin": F.abs(F.col("p_yes") - F.col("p_no")),
-        "entropy_2way": -(share * F.log(share) + (1 - share) * F.log(1 - share)),
-        "entropy_3way": -(F.col("p_yes") * F.col("_l_yes") + F.col("p_no") * F.col("_l_no") + F.col("p_unsure") * F.col("_l_unsure")),
-    })
-    out = out.drop("_yes", "_no", "_unsure", "_all", "_l_yes", "_l_no", "_l_unsure", "_pair")
+    out = answered(out, **{f"_{c}": F.exp(F.col(f"lp_{c}") - top) for c in ("yes", "no", "unsure")})
+    total = F.col("_yes") + F.col("_no") + F.col("_unsure")
+    out = answered(out, **{f"p_{c}": F.col(f"_{c}") / total for c in ("yes", "no", "unsure")}).drop("_yes", "_no", "_unsure", "says", "lp_top", "lp_alt")
+    y, n, u = F.col("p_yes"), F.col("p_no"), F.col("p_unsure")
+    share = y / (y + n)
+    out = answered(
+        out, small_prediction=F.when((y >= n) & (y >= u), "Yes").when(n >= u, "No").otherwise("Unsure"), confidence=F.greatest(y, n), margin=F.abs(y - n),
+        entropy_2way=-(share * F.log(share) + (1 - share) * F.log(1 - share)), entropy_3way=-(y * F.log(y) + n * F.log(n) + u * F.log(u)),
+    )
     tokens = {"small_in": F.floor(F.col("n_chars") / 4).cast("long") + 25, "small_out": F.lit(1).cast("long")} if "n_chars" in points.columns else {}
     return out.withColumns(tokens)
 
@@ -76,7 +81,7 @@ def small(points: DataFrame) -> DataFrame:
 def large(points: DataFrame) -> DataFrame:
     """points with the large model's verdict."""
     says = F.when(_g() < 5, ~F.col("truth")).otherwise(F.col("truth"))
-    return points.withColumn("large_prediction", F.when(says, "Yes").otherwise("No"))
+    return answered(points, large_prediction=F.when(says, "Yes").otherwise("No"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
