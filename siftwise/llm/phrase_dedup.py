@@ -38,6 +38,8 @@ WINDOW, GRAM = 20, 6
 CROWD = 4096
 #: Recurring anchors that are sent to every task (16 bytes each); more are joined.
 SENT_ANCHORS = 2_000_000
+#: Word ranges to remove that are sent to every task (32 bytes each); more are joined.
+SENT_COVERS = 1_000_000
 #: Words of passages in one automaton, and words of segments held before they are streamed.
 AUTOMATON_WORDS, STREAM_WORDS = 200_000, 400_000
 _PACK = 1 << 24  # first window * _PACK + number of windows
@@ -330,23 +332,35 @@ def _locate(window: int):
     return run
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in common.slices(batches, "text", 1 << 20):
-        total, gone, sums, kept_texts = [], [], [], []
-        for text, covers in zip(common.binary_list(b.column("text")), b.column("covers").to_pylist(), strict=True):
-            words = text.split()
-            upto, kept = 0, []
-            for c in sorted(covers or [], key=lambda c: (c["begin"], c["end"])):
-                kept += words[upto : max(upto, c["begin"])]
-                upto = max(upto, c["end"])
-            kept += words[upto:]
-            joined = b" ".join(kept)
-            total.append(len(words))
-            gone.append(len(words) - len(kept))
-            sums.append(hashlib.sha256(joined).hexdigest())
-            kept_texts.append(joined if len(kept) < len(words) else None)
-        extra = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays([b.column("row"), *extra], ["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
+def _keep(known=None):
+    """What is left of each text. Ranges to remove are in the column covers, or in the broadcast known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, begins, ends = known.value if known is not None else [None] * 4
+        for b in common.slices(batches, "text", 1 << 20):
+            if known is None:
+                ranges = [sorted((c["begin"], c["end"]) for c in own or []) for own in b.column("covers").to_pylist()]
+            else:
+                key, own_id = b.column("doc_key").to_numpy(), b.column("id_key").to_pylist()
+                low, high = np.searchsorted(keys, key, "left").tolist(), np.searchsorted(keys, key, "right").tolist()
+                ranges = [sorted((int(begins[i]), int(ends[i])) for i in range(x, y) if ids[i] == z) for x, y, z in zip(low, high, own_id, strict=True)]
+            total, gone, sums, kept_texts = [], [], [], []
+            for text, covers in zip(common.binary_list(b.column("text")), ranges, strict=True):
+                words = text.split()
+                upto, kept = 0, []
+                for begin, end in covers:
+                    kept += words[upto : max(upto, begin)]
+                    upto = max(upto, end)
+                kept += words[upto:]
+                joined = b" ".join(kept)
+                total.append(len(words))
+                gone.append(len(words) - len(kept))
+                sums.append(hashlib.sha256(joined).hexdigest())
+                kept_texts.append(joined if len(kept) < len(words) else None)
+            extra = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *extra], ["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return run
 
 
 def _recurring(texts: DataFrame, window: int) -> DataFrame:
@@ -356,8 +370,7 @@ def _recurring(texts: DataFrame, window: int) -> DataFrame:
     seen = keyed.mapInArrow(_anchors(window, True), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     seen = common.checkpointed(seen)
     if seen.count() <= SENT_ANCHORS:
-        rows = seen.toPandas().sort_values("anchor")
-        known = spark.sparkContext.broadcast((rows["anchor"].to_numpy(np.int64), rows["seen"].to_numpy(np.int64)))
+        known = spark.sparkContext.broadcast(_columns(seen, "anchor"))
         return texts.mapInArrow(_cut_known(window, known), CUT)
     runs = keyed.mapInArrow(_anchors(window, False), "anchor long, doc_key long, run long").join(seen, "anchor")
     listed = runs.groupBy("doc_key").agg(F.collect_set(F.struct("anchor", "seen", "run")).alias("runs"))
@@ -365,6 +378,13 @@ def _recurring(texts: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(_cut_listed(window), CUT)
 
 
+def _columns(df: DataFrame, by: str) -> list[np.ndarray]:
+    """A small table of whole numbers as arrays, in the order of its first column."""
+    rows = df.toArrow()
+    order = np.argsort(rows[by].to_numpy(), kind="stable")
+    return [rows[c].to_numpy()[order] for c in df.columns]
+
+
 def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id_key, doc_key, begin, end): word ranges to remove. texts: id_key, doc_key, text."""
     spark = texts.sparkSession
@@ -384,7 +404,7 @@ def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("kind", F.lit(0)).select(columns)
     dealt = dealt.union(many.withColumn("salt", F.pmod(F.xxhash64("doc_key", "first"), copies).cast("int")).withColumn("kind", F.lit(1)).select(columns))
     far = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "kind").mapInArrow(_locate(window), COVER)
-    return common.checkpointed(near.union(far).distinct())
+    return common.checkpointed(near.union(far))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -393,10 +413,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.id_key().alias("id_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("doc_key", F.xxhash64("id_key", "text"))
     covers = covered(rows.select("id_key", "doc_key", "text"), window)
+    kind = rows.schema["row"].dataType.simpleString()
+    schema = f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    if covers.count() <= SENT_COVERS:
+        known = docs.sparkSession.sparkContext.broadcast(_columns(covers.select("doc_key", "id_key", "begin", "end"), "doc_key"))
+        return rows.mapInArrow(_keep(known), schema)
     per_doc = covers.groupBy("id_key", "doc_key").agg(F.collect_set(F.struct("begin", "end")).alias("covers"))
-    joined = rows.join(per_doc, ["id_key", "doc_key"], "left").select("row", "text", "covers")
-    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_keep, f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.join(per_doc, ["id_key", "doc_key"], "left").select("row", "text", "covers").mapInArrow(_keep(), schema)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
