@@ -63,7 +63,7 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, flat: np.ndarray, trees: int, bits: int):
         self.ids, self.x, self.bits, self.trees = ids, x, bits, trees
-        self.norms = np.sqrt((x * x).sum(1))
+        self.longest_row = float(np.sqrt((x * x).sum(1)).max())
         hashed = strings(x, flat, trees, bits)
         self.order = np.argsort(hashed, axis=1, kind="stable")
         self.sorted = np.take_along_axis(hashed, self.order, axis=1)
@@ -134,10 +134,8 @@ class _Query:
             return
         total = np.concatenate(self.scores)
         bound = -np.partition(-total, self.k - 1)[self.k - 1]
-        found = np.concatenate(self.rows)
-        norm = float(f.norms[found[total >= bound]].max())
-        # the chance that a bit is shared with a row at the angle of the k-th best
-        near = 1 - math.acos(max(-1.0, min(1.0, bound / (self.size * norm)))) / math.pi
+        # the chance that a bit is shared with a row at the widest angle at which the longest row scores as the k-th best
+        near = 1 - math.acos(max(-1.0, min(1.0, bound / (self.size * f.longest_row)))) / math.pi
         self.done = 1 - (1 - near**depth) ** f.trees >= self.recall
 
     def best(self) -> list[tuple[int, int, float]]:

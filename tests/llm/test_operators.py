@@ -1,0 +1,480 @@
+"""Each operator against plain Python, on rows with nulls, ties, repeats, long texts and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from siftwise.llm import chunk_store, kd_shards, mixing, packing, phrase_dedup, prefix_forest, quality_model, queries, rule_lists, simhash, url_templates
+
+TOKENIZER = queries.tokenizer_path()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score string"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def rows():
+    """Hand-made documents; size and score are columns that clash with operators' own."""
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(400)] + ["über", "naïve", "#tag", "$5", "漢字", "don't", "I'll"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 120))) for _ in range(60)]
+    shared = " ".join(rng.choices(vocabulary, k=45))
+    texts += [f"{texts[i]} {shared} {texts[i + 1]}" for i in range(6)]
+    texts += [texts[3]] * 3 + ["", None, "   \n\t ", "one", "a b " * 60, "x y z \x1c q", " ".join(rng.choices(vocabulary, k=4000)), "line one two\n" * 12]
+    out = [(i, t, "en", f"s{i % 5}" if i % 7 else None, len(t or ""), 7, "q") for i, t in enumerate(texts)]
+    return [*out, out[5], out[5], (None, texts[0], None, None, None, None, None), (None, "only here " * 15, "en", "s1", 3, 1, "z")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def ids():
+    """Token ids of a text by the library itself."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    t.encode_special_tokens = True
+    return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+
+
+def key(x):
+    return (x is None, x)
+
+
+# ---- 1
+
+def test_packing(docs, none, ids):
+    got = packing.pack(docs, TOKENIZER).collect()
+    expected = Counter()
+    for r in rows():
+        own = ids(r[1])
+        for k, (a, b) in enumerate(packing.piece_bounds(len(own), 1024)):
+            expected[(r[0], k, a, b - a, zlib.crc32(own[a:b].tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    counts = np.bincount([r.length for r in got], minlength=1025)
+    assert packing.lower_bound(counts, 1024) <= len(by) <= sum(n for _, n in packing.best_fit(counts, 1024))
+    assert packing.pack(none, TOKENIZER).count() == 0
+
+
+def smallest(items, capacity):
+    """Fewest bins, by trying every way."""
+    best = len(items)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(items):
+            best = len(bins)
+            return
+        for i, room in enumerate(bins):
+            if room >= items[k] and room not in bins[:i]:
+                place(k + 1, [*bins[:i], room - items[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rng = random.Random(4)
+    for _ in range(120):
+        capacity = rng.choice((10, 20, 31))
+        items = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        counts = np.bincount(items, minlength=capacity + 1)
+        plan = packing.complete(counts, capacity)
+        used = Counter()
+        for pattern, times in plan:
+            assert sum(x * c for x, c in pattern) <= capacity
+            for x, c in pattern:
+                used[x] += c * times
+        assert used == Counter(items)
+        n = sum(t for _, t in plan)
+        assert packing.lower_bound(counts, capacity) <= smallest(items, capacity) == n
+
+
+def test_piece_bounds():
+    assert packing.piece_bounds(5, 4) == [(0, 1), (1, 5)]
+    assert packing.piece_bounds(8, 4) == [(0, 4), (4, 8)]
+    assert packing.piece_bounds(0, 4) == [(0, 0)]
+
+
+# ---- 2
+
+def repeats(documents, window=20):
+    seen, out = set(), []
+    for r in documents:
+        own = words(r[1])
+        gone = [False] * len(own)
+        for s in range(len(own) - window + 1):
+            w = tuple(own[s : s + window])
+            if w in seen:
+                gone[s : s + window] = [True] * window
+            seen.add(w)
+        kept = " ".join(w for w, g in zip(own, gone, strict=True) if not g)
+        out.append((r[0], len(own), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowd,sent,automaton", [(4096, 10**6, 200_000), (2, 10**6, 60), (2, 0, 400)])
+def test_phrase_dedup(docs, none, monkeypatch, crowd, sent, automaton):
+    monkeypatch.setattr(phrase_dedup, "CROWD", crowd)
+    monkeypatch.setattr(phrase_dedup, "SENT_ANCHORS", sent)
+    monkeypatch.setattr(phrase_dedup, "SENT_COVERS", sent)
+    monkeypatch.setattr(phrase_dedup, "AUTOMATON_WORDS", automaton)
+    once = [r for r in rows() if r[0] is not None]
+    once = sorted({r[0]: r for r in once}.values()) + [r for r in rows() if r[0] is None]
+    expected = Counter(repeats(once))
+    repeated = next(e for e in expected if e[0] == 5)
+    expected[repeated] += 2  # a row that repeats another is the same document
+    got = phrase_dedup.repeat_digests(docs).collect()
+    known = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got)
+    assert Counter({k: n for k, n in known.items() if k[0] is not None}) == Counter({k: n for k, n in expected.items() if k[0] is not None})
+    assert sum(known.values()) == len(rows())
+    if crowd == 4096:
+        assert phrase_dedup.repeat_digests(none).count() == 0
+
+
+def test_phrase_dedup_small_alphabet(spark):
+    rng = random.Random(2)
+    made = [(i, " ".join(rng.choices("ab", k=rng.randint(0, 60)))) for i in range(150)]
+    got = phrase_dedup.repeat_digests(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(repeats(made))
+
+
+def test_without_repeats_keeps_columns(docs):
+    out = phrase_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert all(r.n_chars == len(r.text) for r in out.collect() if r.doc_id in (61, 62, 63))
+
+
+# ---- 3
+
+def test_prefix_forest(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((6, 16))
+    x = centres[rng.integers(0, 6, 900)] + 0.4 * rng.standard_normal((900, 16))
+    x[40:60] = x[0]  # ties
+    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (None, x[1].tolist()), (3000, [1.0, 2.0]), (3001, [2.0, 1.0])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = prefix_forest.nearest(df, "vec_id % 20 = 0", k=20, block_rows=300, block_queries=20).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(by) == {*range(0, 900, 20), 3000}
+    assert by[3000] == [(1, 3001, 4.0)]
+    hit = 0
+    for q in range(0, 900, 20):
+        scores = prefix_forest.exact(x, x[q])
+        order = [i for i in np.lexsort((np.arange(900), -scores)) if i != q][:20]
+        own = sorted(by[q])
+        assert [o[0] for o in own] == list(range(1, 21)) and all(scores[i] == s for _, i, s in own)
+        assert own == [(k + 1, i, s) for k, (i, s) in enumerate(sorted(((i, s) for _, i, s in own), key=lambda o: (-o[1], o[0])))]
+        hit += len(set(order) & {o[1] for o in own})
+    assert hit >= 0.9 * 20 * 45
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert prefix_forest.nearest(empty, "vec_id % 20 = 0").count() == 0
+
+
+# ---- 4
+
+def test_quality_model(spark, docs, none):
+    rng = random.Random(5)
+    good, bad = ["river", "stone", "walk", "green", "light", "under"], ["buy$$$", "now!!!", "cheap###", "click***", "win&&&"]
+    made = [(i, " ".join(rng.choices(good if i % 3 else bad, k=30))) for i in range(400)]
+    labels = [(i, 1 if i % 3 else 0, 0) for i in range(400)] + [(1, 0, 0), (None, 1, 0), (9, None, None)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality_model.score(d, lab).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == (1 if r.doc_id % 3 else 0) for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    odd = quality_model.score(docs, lab).collect()
+    assert len(odd) == len(rows()) and len({r.score for r in odd if r.doc_id == 5}) == 1
+    assert quality_model.score(none, lab).count() == 0
+    assert {r.score for r in quality_model.score(d, lab.limit(0)).collect()} == {0.5}
+
+
+# ---- 5
+
+def test_kd_shards(docs, none):
+    got = kd_shards.sharded(docs).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows())
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, []).append(r)
+    assert set(shards) <= set(range(16)) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    for own in shards.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    assert kd_shards.sharded(none).count() == 0
+
+
+def test_kd_shards_are_even_and_split_hot_groups(spark):
+    rng = random.Random(6)
+    made = [(i, "same text again" if i % 3 == 0 else "".join(rng.choices("abcdef", k=rng.randint(5, 60))), f"s{rng.randint(0, 4) if i % 2 else 0}", "en", 1) for i in range(6000)]
+    got = kd_shards.sharded(spark.createDataFrame(made, "doc_id long, text string, source string, lang string, n_chars long")).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 16 and sizes.max() < 1.03 * sizes.mean() and sizes.min() > 0.97 * sizes.mean()
+
+
+# ---- 6
+
+def test_mixing(docs, none):
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(words(r[1]))) for r in rows())
+    size = Counter()
+    for r in rows():
+        size[r[3]] += len(words(r[1]))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(order, mixing.targets([size[s] for s in order]), strict=True))
+    assert abs(sum(goal.values()) - 1.5 * sum(size.values())) < 1e-6
+    taken = Counter()
+    for r in got:
+        s = next(s for s in order if size[s] == r.source_size and abs(goal[s] - r.target) < 1e-6)
+        taken[s] += r.taken
+        assert r.taken in (0, r.size, 2 * r.size)
+    assert all(abs(taken[s] - goal[s]) < 40 for s in order)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert mixing.mix(none).count() == 0 and mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(docs).count() == sum(r.times for r in got if r["size"])
+
+
+def test_targets():
+    assert mixing.targets([10, 10, 10]) == pytest.approx([20.0, 25 / 3, 50 / 3])
+    assert mixing.targets([]) == [] and mixing.targets([0]) == [0.0]
+    t = mixing.targets([5, 100, 3])
+    assert t[0] == 10 and t[2] == 6 and t[1] == pytest.approx(146)
+
+
+def test_subset_sum():
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes = sorted({rng.randint(1, 30) for _ in range(6)})
+        counts = [rng.randint(1, 4) for _ in sizes]
+        budget = rng.randint(0, sum(s * c for s, c in zip(sizes, counts, strict=True)))
+        take = mixing._reach(np.array(sizes), np.array(counts), budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        reach = {0}
+        for s, c in zip(sizes, counts, strict=True):
+            reach = {r + s * k for r in reach for k in range(c + 1)}
+        assert int((take * np.array(sizes)).sum()) == max(r for r in reach if r <= budget)
+
+
+# ---- 7
+
+def test_url_templates(spark):
+    made = [(1, "http://A.Example.NET/en/5?x=1"), (2, "https://example.net/de/5"), (3, "https://example.com/de/x#a"), (4, "https://x.example.org/fr/1"), (5, None), (6, "no url"), (7, "http://net"), (8, "http://example.org/a//b/"), (8, "http://example.org/a//b/"), (None, "http://notexample.com/de/1")]
+    made += [(100 + i, f"http://bad.org/spam/{i}") for i in range(30)] + [(200 + i, f"http://bad.org/news/{i}") for i in range(30)]
+    pages = spark.createDataFrame(made, "page_id long, url string").selectExpr("*", "'x' AS verdict")
+    labels = spark.createDataFrame([(100 + i, 0) for i in range(30)] + [(200 + i, 1) for i in range(30)], "page_id long, good int")
+    got = url_templates.judge(pages, labels).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == len(made)
+    assert (by[1].host, by[1].path, by[1].rule, by[1].verdict) == ("a.example.net", "/en/5", "example.net/en/", "allow")
+    assert (by[2].rule, by[2].verdict) == ("net/", "block")
+    assert (by[3].rule, by[3].verdict, by[3].path) == ("example.com/de/", "block", "/de/x")
+    assert (by[4].rule, by[4].verdict) == ("org/fr/", "allow")
+    assert (by[5].host, by[5].path, by[5].rule) == ("", "", None) == (by[6].host, by[6].path, by[6].rule)
+    assert (by[7].host, by[7].path, by[7].rule) == ("net", "", None)
+    assert by[None].rule is None
+    assert {by[100 + i].verdict for i in range(30)} == {"block"} and {by[200 + i].verdict for i in range(30)} == {"allow"}
+    assert url_templates.judge(pages.limit(0), labels).count() == 0
+    assert {r.verdict for r in url_templates.judge(pages.where("page_id >= 100"), labels.limit(0)).collect()} == {"allow"}
+
+
+# ---- 8
+
+def test_chunk_store(spark, docs, none, ids):
+    got = chunk_store.round_trip(docs, TOKENIZER).collect()
+    order = sorted(rows(), key=lambda r: key(r[0]))
+    expected = Counter((r[0], len(ids(r[1])), zlib.crc32(ids(r[1]).tobytes())) for r in order)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == expected
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    listed = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert listed == sorted(listed, key=key)
+    assert chunk_store.round_trip(none, TOKENIZER).count() == 0
+
+
+def test_chunk_store_finds_damage(spark, docs, ids, tmp_path):
+    at = f"file://{tmp_path}/store"
+    chunk_store.write_store(docs, at, TOKENIZER)
+    long = next(r for r in rows() if r[1] and len(r[1]) > 10_000)
+    assert chunk_store.read_ids(spark, at, long[0]) == [ids(long[1]).tolist()]
+    blobs = chunk_store._kind(spark, at, 0)
+    assert blobs.count() == blobs.select("key").distinct().count()
+    blobs.selectExpr("kind", "key", "reverse(payload) AS payload", "width", "n", "doc_id").write.mode("overwrite").parquet(f"{tmp_path}/other")
+    import shutil
+
+    shutil.rmtree(tmp_path / "store/blobs/kind=0")
+    spark.read.parquet(f"{tmp_path}/other").drop("kind").write.parquet(f"{at}/blobs/kind=0")
+    with pytest.raises(Exception, match="damaged"):
+        chunk_store.read_store(spark, at).collect()
+
+
+def test_crc32_join():
+    rng = random.Random(8)
+    join = chunk_store.Crc32Join()
+    for _ in range(50):
+        parts = [rng.randbytes(rng.randint(0, 3000)) for _ in range(rng.randint(0, 6))]
+        assert join([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+def test_encoder_equals_the_library(ids):
+    from siftwise.llm.tokens import Encoder, safe_cuts
+
+    rng = random.Random(9)
+    letters = list("ab Z9'sdtmrevl \n\t   é漢1٣!$#<|endoftext|> \x1c\x85😀")
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 50))) for _ in range(1500)]
+    encoder = Encoder.load(TOKENIZER)
+    for t, got in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        assert got.tolist() == ids(t).tolist()[:-1]
+    whole = " ".join(texts)
+    parts = list(safe_cuts(whole.encode(), 500))
+    assert b"".join(parts) == whole.encode() and len(parts) > 5
+    assert [i for p in parts for i in ids(p.decode()).tolist()[:-1]] == ids(whole).tolist()[:-1]
+
+
+# ---- 9
+
+def fingerprint(text):
+    own = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(own[i : i + 3]) for i in range(max(1, len(own) - 2))] if own else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def grouped(prints, distance):
+    """Smallest reachable place of each print, by comparing all pairs."""
+    group = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+def test_simhash(docs, none):
+    got = simhash.near_duplicate_ids(docs).collect()
+    made = sorted(rows(), key=lambda r: key(r[0]))
+    prints = [fingerprint(r[1]) for r in made]
+    group = grouped(prints, 3)
+    expected = Counter((r[0], f"{p:016x}", made[g][0]) for r, p, g in zip(made, prints, group, strict=True))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == expected
+    assert simhash.near_duplicate_ids(none).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(group))
+    assert {r.doc_id for r in kept.collect()} == {made[g][0] for g in group}
+
+
+@pytest.mark.parametrize("distance,parts", [(3, 4), (3, 3), (3, 2), (7, 4)])
+def test_links_are_complete(spark, distance, parts):
+    rng = random.Random(10)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    made = {b for b in base}
+    for b in base[:20]:
+        for _ in range(12):
+            x = b
+            for bit in rng.sample(range(64), rng.randint(1, distance + 2)):
+                x ^= 1 << bit
+            made.add(x)
+    dense = base[0]
+    made |= {dense ^ (1 << i) ^ (1 << j) for i in range(14) for j in range(14)}  # a crowded ball
+    made = sorted(made)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in made], "print long")
+    tree = simhash.components(simhash.linked(df, distance, parts)).collect()
+    root = {r.node: r.root for r in tree}
+    signed = [x - (1 << 64) if x >> 63 else x for x in made]
+    expected = grouped(made, distance)
+    classes = {}
+    for s, g in zip(signed, expected, strict=True):
+        classes.setdefault(g, set()).add(root.get(s, s))
+    assert all(len(c) == 1 for c in classes.values()) and len({next(iter(c)) for c in classes.values()}) == len(classes)
+
+
+def test_allotments_spend_all_units():
+    rng = np.random.default_rng(11)
+    estimates = [np.cumsum(rng.random((50, 5)), axis=1) for _ in range(4)]
+    limits = simhash.allot(estimates, 3)
+    assert ((limits + 1).sum(1) == 4).all()
+    cost = sum(e[np.arange(50), limits[:, i] + 1] for i, e in enumerate(estimates))
+    best = np.min([sum(e[:, u] for e, u in zip(estimates, a, strict=True)) for a in simhash.allotments(4, 3)], axis=0)
+    assert np.allclose(cost, best)
+
+
+# ---- 10
+
+def stats(text):
+    own, t = words(text), text or ""
+    n = len(own)
+    count = Counter(tuple(own[i : i + 8]) for i in range(n - 7))
+    hit = [False] * n
+    for i in range(n - 7):
+        if count[tuple(own[i : i + 8])] > 1:
+            hit[i : i + 8] = [True] * 8
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    return n, sum(map(len, own)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(hit)
+
+
+def test_rule_lists(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    got = rule_lists.verdicts(docs, labels).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter((r[0], *stats(r[1])) for r in rows())
+    for r in got:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+    assert rule_lists.verdicts(none, labels).count() == 0
+    plain = rule_lists.verdicts(docs, labels.limit(0)).collect()
+    assert all(r.kept != r.base_failed for r in plain)
+    out = rule_lists.kept_documents(docs, labels)
+    assert out.columns == docs.columns and out.count() == sum(r.kept for r in got)
+
+
+def test_rules_find_what_is_bad(spark):
+    rng = random.Random(12)
+    clean = lambda: " ".join(f"word{rng.randint(0, 5000)}" for _ in range(60)) + "."
+    junk = lambda: " ".join(f"word{rng.randint(0, 5000)}$$$" for _ in range(60))
+    made = [(i, clean() if i % 4 else junk()) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1 if i % 4 else 0, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = rule_lists.verdicts(spark.createDataFrame(made, "doc_id long, text string"), labels).collect()
+    assert all(r.kept == (r.doc_id % 4 != 0) for r in got)
+
+
+def test_repeated_words():
+    rng = random.Random(13)
+    for _ in range(60):
+        own = rng.choices("abc", k=rng.randint(0, 40))
+        number = {}
+        made = np.array([number.setdefault(w, len(number)) for w in own], np.int64)
+        assert rule_lists.repeated_words(made) == stats(" ".join(own))[4]
