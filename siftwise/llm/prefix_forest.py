@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES, BITS, RECALL = 32, 32, 0.97
+TREES, BITS, RECALL = 32, 32, 0.95
 #: Rows and queries of one block.
 ROWS, QUERIES = 8192, 1024
 SEED = 11
@@ -65,8 +65,9 @@ class Forest:
         self.ids, self.x, self.bits, self.trees = ids, x, bits, trees
         self.longest_row = float(np.sqrt((x * x).sum(1)).max())
         hashed = strings(x, flat, trees, bits)
-        self.order = np.argsort(hashed, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(hashed, self.order, axis=1)
+        order = np.argsort(hashed, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(hashed, order, axis=1)
+        self.order = list(order.astype(np.int32))
 
     def longest(self, q: np.ndarray) -> np.ndarray:
         """Length of each query's longest matching prefix in any tree. q: (trees, queries)."""
@@ -98,8 +99,10 @@ class Forest:
                 if not own:
                     continue
                 low, high = self.ranges(q[:, own], depth)
-                for j, lo, hi in zip(own, low.T.tolist(), high.T.tolist(), strict=True):
-                    asked[j].look(depth, lo, hi)
+                enough = (high - low).sum(0) >= 8 * k  # fewer could not fill the k best; ascend at once
+                for j, lo, hi, ready in zip(own, low.T.tolist(), high.T.tolist(), enough.tolist(), strict=True):
+                    if ready or not depth:
+                        asked[j].look(depth, lo, hi)
             for a in asked:
                 out += a.best()
         return out
@@ -120,9 +123,7 @@ class _Query:
         """Score the rows of the trees' ranges at a depth, and see whether to ascend."""
         f = self.forest
         mark = np.zeros(len(f.ids), bool)
-        for order, a, b in zip(f.order, low, high, strict=True):
-            if b > a:
-                mark[order[a:b]] = True
+        mark[np.concatenate([order[a:b] for order, a, b in zip(f.order, low, high, strict=True)])] = True
         mark &= ~self.seen
         new = np.flatnonzero(mark)
         if len(new):
