@@ -12,7 +12,7 @@ from ..functions import confidence, parsing, prompts
 from ..operators import baselines, learners, metrics, prefix, retrieval, routing, sampling
 from ..sources import cache, experiences, points as pts, reports
 from ..streaming import online
-from . import cascade, oracle
+from . import cascade, oracle, warm_start
 from . import simulated as sim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,15 +705,16 @@ def online_single_epoch(s, d):
 @query
 def kmeans_pairs(s, d):
     """Pairs of documents from different clusters, for predicates that tell them apart."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    docs = sim.vectors(s, d).withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=5, seed=1, maxIter=10).fit(docs)
-    told = model.transform(docs).select("doc_id", F.col("prediction").alias("cluster"))
-    picked = sampling.ordered(told, ["cluster"], [sampling.digest(3, "doc_id").asc()], 6)
-    right = picked.select(F.col("doc_id").alias("other_id"), ((F.col("cluster") + 4) % 5).alias("cluster"), "order_no")
-    return picked.join(right, ["cluster", "order_no"]).select("doc_id", "other_id", "cluster")
+    docs = sim.table(s, d, "documents").select("doc_id", "text").join(sim.vectors(s, d), "doc_id")
+    return warm_start.contrasting_pairs(docs, 5, 6, 1).select("doc_id", "other_id", "cluster")
+
+
+@query
+def pretrain_loop(s, d):
+    """Two rounds of active labelling; what was labelled, and how often the models agreed."""
+    points = sim.truths(s, d)
+    rows, model, head = warm_start.acquire(points, sim.small, sim.large, 2, 60, 200, save=lambda x: x.persist())
+    return rows.groupBy("round_idx", "query_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("z") == 1).alias("agreed"), F.round(F.avg("weight"), 6).alias("mean_weight"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

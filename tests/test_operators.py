@@ -216,3 +216,17 @@ def test_state_survives_a_round_trip():
     s.fold([{"small_prediction": "Yes", "large_prediction": "No", "query_name": "q", "features": [0.1, 0.2, 0.3, 0.4]}])
     again = online.State.load(s.dump())
     assert again.seen == {"q": [1, 0]} and np.allclose(again.heads.whole.mean, s.heads.whole.mean) and again.heads.own["q"].n == 1
+
+
+def test_synthesis_keeps_confirmed_conditions(spark):
+    from siftwise.functions import prompts
+    from siftwise.plans import warm_start
+
+    pairs = spark.createDataFrame([(1, "red apple", 2, "blue sky"), (3, "x", 4, "y")], "doc_id long, text string, other_id long, other_text string")
+    texts = {r.doc_id: r for r in pairs.withColumn("p", prompts.predicate_from_pair(F.col("text"), F.col("other_text"))).withColumn("q", prompts.question(F.lit("Names fruit."), F.col("text"))).collect()}
+    answers = {texts[1].p: 'Sure: {"condition": "Names fruit."}', texts[1].q: "Yes.", texts[3].p: "no idea"}
+    got = warm_start.synthesize(pairs, lambda: clients.Replay(answers, "No")).collect()
+    assert sorted((r.predicate, r.doc_id, r.expected_answer) for r in got) == [("Names fruit.", 1, "Yes"), ("Names fruit.", 2, "No")]
+    docs = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    spread = warm_start.spread(spark.createDataFrame([("p",), ("q",)], "predicate string"), docs, 5, 1)
+    assert spread.count() == 10 and spread.select("cand_id").distinct().count() == 10
