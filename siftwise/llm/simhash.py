@@ -11,7 +11,8 @@ Each text gets a 64-bit fingerprint of its word shingles. Distinct fingerprints
    values promise the fewest candidates: a crowded value is left out, a rare one gets more.
 3. A fingerprint is filed under each part's value and probes all values within its thresholds.
    Inside a bucket, verified links are reduced to a forest, so that at most one row per
-   fingerprint leaves it, however many pairs are linked.
+   fingerprint leaves it, however many pairs are linked. A wide search, whose probes are many,
+   starts from the components of a narrow one: only links between those leave a bucket.
 4. Links become components by rounds of large-star and small-star steps.
 
 Defined results: a text without words, empty or null, has fingerprint zero and links like any
@@ -179,7 +180,7 @@ def _masks(bits: int, t: int) -> np.ndarray:
 
 
 def _deal(groups: list[list[int]], near: list[list[np.ndarray]], distance: int):
-    """Rows (part, value, print, probe): each fingerprint filed under its parts, and probing by its thresholds."""
+    """Rows (part, value, print, label, probe): each fingerprint filed under its parts, and probing by its thresholds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,19 +193,21 @@ def _deal(groups: list[list[int]], near: list[list[np.ndarray]], distance: int):
                 probes = np.cumsum([math.comb(len(g), t) for t in range(distance + 1)])
                 estimates.append(np.stack([np.zeros(len(prints))] + [near[i][t][low] / thin + probes[t] for t in range(distance + 1)], 1))
             limits = allot(estimates, distance)
+            labels = b.column("label").to_numpy().view(np.uint64)
             for i, g in enumerate(groups):
-                yield _rows(i, values[i], prints, False)
+                yield _rows(i, values[i], prints, labels, False)
                 for t in range(distance + 1):
                     if (own := limits[:, i] == t).any():
                         masks = _masks(len(g), t)
-                        yield _rows(i, (values[i][own][:, None] ^ masks[None]).ravel(), np.repeat(prints[own], len(masks)), True)
+                        yield _rows(i, (values[i][own][:, None] ^ masks[None]).ravel(), np.repeat(prints[own], len(masks)), np.repeat(labels[own], len(masks)), True)
 
     return run
 
 
-def _rows(part: int, values: np.ndarray, prints: np.ndarray, probe: bool) -> pa.RecordBatch:
+def _rows(part: int, values: np.ndarray, prints: np.ndarray, labels: np.ndarray, probe: bool) -> pa.RecordBatch:
     n = len(values)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(values.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(np.full(n, probe))], ["part", "value", "print", "probe"])
+    columns = [pa.array(np.full(n, part, np.int32)), *(pa.array(x.view(np.int64)) for x in (values, prints, labels)), pa.array(np.full(n, probe))]
+    return pa.RecordBatch.from_arrays(columns, ["part", "value", "print", "label", "probe"])
 
 
 # ---- links within buckets
@@ -237,7 +240,7 @@ def _bucket_links(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
         for b in batches:
-            now = (b.column("part").to_numpy(), b.column("value").to_numpy(), b.column("print").to_numpy().view(np.uint64), b.column("probe").to_numpy(zero_copy_only=False))
+            now = (b.column("part").to_numpy(), b.column("value").to_numpy(), b.column("print").to_numpy().view(np.uint64), b.column("label").to_numpy().view(np.uint64), b.column("probe").to_numpy(zero_copy_only=False))
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             last = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1]) + 1 if (now[0] != now[0][-1]).any() or (now[1] != now[1][-1]).any() else 0
@@ -251,33 +254,36 @@ def _bucket_links(distance: int):
 
 
 def _links(rows: tuple[np.ndarray, ...], distance: int) -> Iterator[pa.RecordBatch]:
-    """Links of whole buckets; rows are sorted by part and value."""
-    part, value, prints, probe = rows
+    """Links of whole buckets, between labels; rows are sorted by part, value and print."""
+    part, value, prints, labels, probe = rows
     new = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (value[1:] != value[:-1])))
     sizes = np.diff(np.append(new, len(part)))
     links: list[tuple[np.ndarray, np.ndarray]] = []
     big = np.flatnonzero(sizes > SMALL)
     for k in big.tolist():
         own = slice(new[k], new[k] + sizes[k])
-        if not probe[own].any():
-            continue
-        got = forest(np.unique(prints[own]), distance)
+        if probe[own].all() or not probe[own].any() or (labels[own] == labels[new[k]]).all():
+            continue  # a pair is sure to meet where one is filed and the other probes
+        members, at = np.unique(prints[own], return_index=True)
+        got = forest(members, distance)
         if got:
-            links.append(tuple(np.array(x, np.uint64) for x in zip(*got, strict=True)))
+            named = labels[own][at]
+            links.append(tuple(named[np.searchsorted(members, np.array(x, np.uint64))] for x in zip(*got, strict=True)))
     small = np.repeat(sizes <= SMALL, sizes)
-    p, q, bucket = prints[small], probe[small], np.repeat(np.arange(len(sizes)), sizes)[small]
+    p, name, q, bucket = prints[small], labels[small], probe[small], np.repeat(np.arange(len(sizes)), sizes)[small]
     for shift in range(1, int(sizes[sizes <= SMALL].max(initial=0))):
         if len(p) <= shift:
             break
         a, b = p[:-shift], p[shift:]
-        ok = (bucket[:-shift] == bucket[shift:]) & (q[:-shift] | q[shift:]) & (a != b)
+        ok = (bucket[:-shift] == bucket[shift:]) & (q[:-shift] != q[shift:]) & (name[:-shift] != name[shift:])
         at = np.flatnonzero(ok)
         at = at[_popcount(a[at] ^ b[at]) <= distance]
         if len(at):
-            links.append((a[at], b[at]))
+            links.append((name[at], name[at + shift]))
     if links:
         a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-        yield from _star(np.maximum(a, b), np.minimum(a, b))
+        if (apart := a != b).any():
+            yield from _star(a[apart], b[apart])
 
 
 def _star(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -334,7 +340,12 @@ def n_parts(n: int) -> int:
 
 
 def linked(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
-    """(a, b) links that join all distinct fingerprints (column print) within the distance."""
+    """(a, b) links that join all distinct fingerprints (column print) within the distance.
+
+    With a column label (a fingerprint for each known group) links are between labels.
+    """
+    if "label" not in prints.columns:
+        prints = prints.withColumn("label", F.col("print"))
     n = prints.count()
     parts = parts or n_parts(n)
     together = np.zeros((BITS, BITS))
@@ -347,7 +358,7 @@ def linked(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None
         counts[k][v] = c
     near = [[x.astype(np.float32) for x in near_counts(c, distance)] for c in counts]
     held = prints.sparkSession.sparkContext.broadcast(near)
-    dealt = prints.mapInArrow(lambda batches: _deal(groups, held.value, distance)(batches), "part int, value long, print long, probe boolean")
+    dealt = prints.mapInArrow(lambda batches: _deal(groups, held.value, distance)(batches), "part int, value long, print long, label long, probe boolean")
     sorted_ = dealt.repartition("part", "value").sortWithinPartitions("part", "value", "print")
     return sorted_.mapInArrow(_bucket_links(distance), "a long, b long")
 
@@ -359,7 +370,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     texts = docs.select(common.id_key().alias("id_key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = common.checkpointed(texts.mapInArrow(_fingerprints(shingle), "id_key long, text_key long, print long"))
     classes = common.checkpointed(rows.groupBy("print").agg(F.min("id_key").alias("first")))
-    tree = components(linked(classes.select("print"), distance))
+    tree = components(linked(classes.select("print"), min(distance, DISTANCE)))
+    if distance > DISTANCE:
+        known = classes.select("print").join(tree.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("label"))
+        wide = linked(common.checkpointed(known), distance)
+        tree = components(wide.union(tree.select("node", "root")))
     rooted = classes.join(tree.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     members = rooted.select("print", "root").join(lowest, "root")
