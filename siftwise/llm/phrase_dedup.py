@@ -3,6 +3,9 @@
 A window is `window` consecutive words of one document. Words covered by a window that also
 starts earlier (smaller doc_id, or same document and earlier start) are removed.
 
+Texts that repeat an earlier document's whole text are one passage from end to end: they are told
+by their digests, covered whole, and take no part in what follows, so a crowd of copies counts once.
+
 1. Every window is filed under an anchor: the smallest hash among its short word grams. Equal
    windows have equal anchors, and neighbouring windows mostly share one, so a text has few
    segments (runs of windows with one anchor). Anchors seen once in the corpus end here.
@@ -42,6 +45,11 @@ SENT_ANCHORS = 2_000_000
 SENT_COVERS = 1_000_000
 #: Words of passages in one automaton, and words of segments held before they are streamed.
 AUTOMATON_WORDS, STREAM_WORDS = 200_000, 400_000
+#: Copies of whole texts whose keys are sent to every task (8 bytes each); more are joined.
+SENT_COPIES = 2_000_000
+#: End of a range that covers a whole text.
+WHOLE = 1 << 40
+
 _PACK = 1 << 24  # first window * _PACK + number of windows
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -121,10 +129,21 @@ class Texts:
         return b" ".join(self.flat[self.begin[first] : self.end[first + size + self.window - 2]].split())
 
 
-def _anchors(window: int, only: bool):
+def _fresh(b: pa.RecordBatch, copies) -> list[bytes]:
+    """The texts of a batch, empty where the row is in the broadcast copies (sorted keys)."""
+    texts = common.binary_list(b.column("text"))
+    if copies is None or not len(known := copies.value):
+        return texts
+    keys = b.column("doc_key").to_numpy()
+    for i in np.flatnonzero(known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys).tolist():
+        texts[i] = b""
+    return texts
+
+
+def _anchors(window: int, only: bool, copies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text", 1 << 20):
-            t = Texts(common.binary_list(b.column("text")), window)
+            t = Texts(_fresh(b, copies), window)
             anchor = pa.array(t.anchor)
             if only:
                 yield pa.RecordBatch.from_arrays([anchor], ["anchor"])
@@ -139,13 +158,13 @@ _CUT = pa.schema([("anchor", pa.int64()), ("seen", pa.int64()), ("content", pa.b
 CUT = "anchor long, seen long, content binary, id_key long, doc_key long, first long"
 
 
-def _cut_known(window: int, known) -> object:
+def _cut_known(window: int, known, copies):
     """Segments whose anchors are in the broadcast known: sorted anchors, and how often each was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, seen = known.value
         for b in common.slices(batches, "text", 1 << 20):
-            t = Texts(common.binary_list(b.column("text")), window)
+            t = Texts(_fresh(b, copies), window)
             at = np.minimum(np.searchsorted(anchors, t.anchor), len(anchors) - 1)
             hit = np.flatnonzero(anchors[at] == t.anchor) if len(anchors) else np.empty(0, np.int64)
             first, doc = t.first[hit], t.doc[t.first[hit]]
@@ -332,7 +351,7 @@ def _locate(window: int):
     return run
 
 
-def _keep(known=None):
+def _keep(window: int, known=None):
     """What is left of each text. Ranges to remove are in the column covers, or in the broadcast known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,6 +367,8 @@ def _keep(known=None):
             for text, covers in zip(common.binary_list(b.column("text")), ranges, strict=True):
                 words = text.split()
                 upto, kept = 0, []
+                if covers and covers[0][1] == WHOLE:
+                    covers = [(0, len(words))] if len(words) >= window else []
                 for begin, end in covers:
                     kept += words[upto : max(upto, begin)]
                     upto = max(upto, end)
@@ -363,16 +384,42 @@ def _keep(known=None):
     return run
 
 
-def _recurring(texts: DataFrame, window: int) -> DataFrame:
+def _copies(rows: DataFrame) -> DataFrame:
+    """(id_key, doc_key) of rows whose whole text another document has before them."""
+    light = common.checkpointed(rows.select("id_key", "doc_key", F.unhex(F.md5("text")).alias("same")))
+    first = light.groupBy("same").agg(F.min(F.struct("id_key", "doc_key")).alias("first"), F.max(F.struct("id_key", "doc_key")).alias("last")).where("first <> last").select("same", "first")
+    later = light.join(first, "same").where(F.struct("id_key", "doc_key") != F.col("first"))
+    return common.checkpointed(later.select("id_key", "doc_key").distinct())
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges of each document, joined where they touch."""
+    for b in batches:
+        out = []
+        for id_key, key, covers in zip(*(b.column(c).to_pylist() for c in ("id_key", "doc_key", "covers")), strict=True):
+            low = high = -1
+            for begin, end in sorted((c["begin"], c["end"]) for c in covers):
+                if low >= 0 and begin <= high:
+                    high = max(high, end)
+                    continue
+                if low >= 0:
+                    out.append((id_key, key, low, high))
+                low, high = begin, end
+            out.append((id_key, key, low, high))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id_key", "doc_key", "begin", "end"])
+
+
+def _recurring(texts: DataFrame, window: int, copies) -> DataFrame:
     """Segments with recurring anchors, as in CUT. texts: id_key, doc_key, text."""
     spark = texts.sparkSession
     keyed = texts.select("doc_key", "text")
-    seen = keyed.mapInArrow(_anchors(window, True), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    seen = keyed.mapInArrow(_anchors(window, True, copies), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     seen = common.checkpointed(seen)
     if seen.count() <= SENT_ANCHORS:
         known = spark.sparkContext.broadcast(_columns(seen, "anchor"))
-        return texts.mapInArrow(_cut_known(window, known), CUT)
-    runs = keyed.mapInArrow(_anchors(window, False), "anchor long, doc_key long, run long").join(seen, "anchor")
+        return texts.mapInArrow(_cut_known(window, known, copies), CUT)
+    runs = keyed.mapInArrow(_anchors(window, False, copies), "anchor long, doc_key long, run long").join(seen, "anchor")
     listed = runs.groupBy("doc_key").agg(F.collect_set(F.struct("anchor", "seen", "run")).alias("runs"))
     found = texts.join(listed, "doc_key").select("id_key", "doc_key", "text", "runs")
     return found.mapInArrow(_cut_listed(window), CUT)
@@ -389,7 +436,12 @@ def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id_key, doc_key, begin, end): word ranges to remove. texts: id_key, doc_key, text."""
     spark = texts.sparkSession
     folder = common.new_folder(spark, "segments")
-    _recurring(texts, window).write.option("compression", "zstd").parquet(folder)
+    again, sent = _copies(texts), None
+    if again.count() <= SENT_COPIES:
+        sent = spark.sparkContext.broadcast(_columns(again.select("doc_key"), "doc_key")[0])
+    else:
+        texts = texts.join(again, ["id_key", "doc_key"], "left_anti").select(texts.columns)
+    _recurring(texts, window, sent).write.option("compression", "zstd").parquet(folder)
     cut = spark.read.schema(CUT).parquet(folder)
     few = cut.where(F.col("seen") <= CROWD).drop("seen")
     near = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_confirm_and_locate(window), COVER)
@@ -404,7 +456,9 @@ def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("kind", F.lit(0)).select(columns)
     dealt = dealt.union(many.withColumn("salt", F.pmod(F.xxhash64("doc_key", "first"), copies).cast("int")).withColumn("kind", F.lit(1)).select(columns))
     far = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "kind").mapInArrow(_locate(window), COVER)
-    return common.checkpointed(near.union(far))
+    lists = near.union(far).groupBy("id_key", "doc_key").agg(F.collect_set(F.struct("begin", "end")).alias("covers"))
+    whole = again.select("id_key", "doc_key", F.lit(0).cast("long").alias("begin"), F.lit(WHOLE).cast("long").alias("end"))
+    return common.checkpointed(lists.mapInArrow(_merge, COVER).union(whole))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -417,9 +471,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
     if covers.count() <= SENT_COVERS:
         known = docs.sparkSession.sparkContext.broadcast(_columns(covers.select("doc_key", "id_key", "begin", "end"), "doc_key"))
-        return rows.mapInArrow(_keep(known), schema)
+        return rows.mapInArrow(_keep(window, known), schema)
     per_doc = covers.groupBy("id_key", "doc_key").agg(F.collect_set(F.struct("begin", "end")).alias("covers"))
-    return rows.join(per_doc, ["id_key", "doc_key"], "left").select("row", "text", "covers").mapInArrow(_keep(), schema)
+    return rows.join(per_doc, ["id_key", "doc_key"], "left").select("row", "text", "covers").mapInArrow(_keep(window), schema)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -145,6 +145,7 @@ def test_phrase_dedup(docs, none, monkeypatch, crowd, sent, automaton):
     monkeypatch.setattr(phrase_dedup, "CROWD", crowd)
     monkeypatch.setattr(phrase_dedup, "SENT_ANCHORS", sent)
     monkeypatch.setattr(phrase_dedup, "SENT_COVERS", sent)
+    monkeypatch.setattr(phrase_dedup, "SENT_COPIES", sent)
     monkeypatch.setattr(phrase_dedup, "AUTOMATON_WORDS", automaton)
     once = [r for r in rows() if r[0] is not None]
     once = sorted({r[0]: r for r in once}.values()) + [r for r in rows() if r[0] is None]
