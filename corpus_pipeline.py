@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwise.llm import common, mixing, packing, phrase_dedup, rule_lists, simhash
+from siftwise.llm import common, mixing, packing, phrase_dedup, rule_lists, shingle_sets
 from siftwise.llm.queries import tokenizer_path
 
-#: Differing bits up to which the near-duplicate stage links three-word fingerprints. Documents
-#: that share 80 % of their five-word shingles mostly differ in 3 to 7 bits (see README).
+#: Differing bits at which three-word fingerprints were linked here before; the stage now links by
+#: five-word shingles (shingle_sets.py), and tests compare the two.
 NEAR_BITS = 7
 
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
-    return simhash.keep_one(docs, distance=NEAR_BITS)
+    """One document of each group linked at a five-word Jaccard similarity of 0.8 or more, that of the smallest doc_id."""
+    return shingle_sets.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

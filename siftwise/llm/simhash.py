@@ -389,7 +389,11 @@ def near_duplicate_ids(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, then text hash; null ids last."""
-    found = near_duplicates(docs, shingle, distance)
+    return first_rows(docs, near_duplicates(docs, shingle, distance))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each root of found (id_key, text_key, root), that of the smallest keys."""
     kept = found.groupBy("root").agg(F.min(F.struct("id_key", "text_key")).alias("k")).select("k.id_key", "k.text_key")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.id_key().alias("id_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
     return rows.join(kept, ["id_key", "text_key"]).dropDuplicates(["id_key", "text_key"]).select("row.*")
