@@ -61,6 +61,28 @@ def json_field(raw: Column, field: str) -> Column:
     return F.when(value != "", value)
 
 
+def flat_json_field(raw: Column, field: str) -> Column:
+    """As json_field, of the whole answer if that is an object, else of the first braces without braces inside."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^```(json)?\s*", ""), r"\s*```$", "")
+    whole = F.get_json_object(text, f"$.{field}")
+    flat = F.get_json_object(F.regexp_extract(text, r"(\{[^{}]*\})", 1), f"$.{field}")
+    value = F.trim(F.coalesce(whole, flat))
+    return F.when(value != "", value)
+
+
+def parse_match_json(raw: Column) -> Column:
+    """Yes, No or unsure by the field match of a JSON answer; of other answers by the words unsure, true, false; else PARSE_FAIL."""
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    value = F.lower(F.get_json_object(text, "$.match"))
+    low = F.lower(text)
+    by_word = (
+        F.when(low.contains("unsure"), "unsure").when(low.contains("true") & ~low.contains("false"), "Yes")
+        .when(low.contains("false"), "No").otherwise("PARSE_FAIL")
+    )
+    by_value = F.when(value == "unsure", "unsure").when(value.isin("", "0", "false") | value.isNull(), "No").otherwise("Yes")
+    return F.when(text.rlike(r"(?s)^\{.*\}$") & F.get_json_object(text, "$").isNotNull(), by_value).otherwise(by_word)
+
+
 def yes_as_int(label: Column) -> Column:
     return F.when(label == "Yes", 1).when(label == "No", 0)
 

@@ -10,6 +10,12 @@ SYSTEM = {
     "three": "You judge whether a document satisfies a condition. Reply with True, False or Unsure only.",
     "careful": "You judge whether a document satisfies a condition. Doubt first impressions. Reply with True, False or Unsure only.",
 }
+#: System texts of collectors that ask without lessons.
+ZERO_SHOT = {
+    "word": "You judge whether a document satisfies a condition. Answer with exactly one word, Yes or No.",
+    "reasoned": "You judge whether a document satisfies a condition. Reason briefly, then give Yes or No alone on the last line.",
+    "json": 'You judge whether a document satisfies a condition. If in doubt, say so. Reply with {"match": true}, {"match": false} or {"match": "unsure"} only.',
+}
 GUIDANCE = "Lessons from earlier cases:"
 
 
@@ -30,6 +36,13 @@ def chat(condition: Column, text: Column, lessons: Column, demos: Column, style:
     return F.concat(F.array(message("system", system)), turns, F.array(message("user", question(condition, text))))
 
 
+def zero_shot(condition: Column, text: Column, variant: str = "word") -> Column:
+    """Messages of a collector's question; an unknown variant raises."""
+    if variant not in ZERO_SHOT:
+        raise KeyError(f"unknown variant {variant!r}; known: {sorted(ZERO_SHOT)}")
+    return F.array(message("system", F.lit(ZERO_SHOT[variant])), message("user", question(condition, text)))
+
+
 def rendered(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n")
 
@@ -52,6 +65,11 @@ def predicate_from_pair(first: Column, second: Column) -> Column:
     return F.concat(F.lit("Write a condition that document A meets and document B does not.\nA:\n"), first, F.lit("\nB:\n"), second, F.lit('\nReply with JSON {"condition": ...}.'))
 
 
+def confirm(condition: Column, text: Column) -> Column:
+    """Whether a document meets a written condition: the second call of a predicate's making."""
+    return F.concat(F.lit("Does the document meet the condition? Start with Yes or No.\nCondition: "), condition, F.lit("\nDocument:\n"), text)
+
+
 def instruction(prefix: Column, body: Column, suffix: Column) -> Column:
     """Task text with braces doubled for a formatter."""
     return F.concat(prefix, F.replace(F.replace(body, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}")), suffix)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,39 +34,78 @@ def by_verification(threshold: float = 0.5) -> Column:
 
 
 def learned(threshold: float, bootstrap: float = 0.9, veto: float | None = None, trained: bool = True) -> Column:
-    """Undecided, or unlikely to agree by the model (p_agree); before there is one, less sure than bootstrap. A veto spares very sure ones."""
+    """Undecided, or unlikely to agree by the model (p_agree); without a model, or where it gives nothing, less sure than bootstrap.
+
+    A veto spares points that the model would escalate and the small model is very sure of.
+    """
     undecided = F.coalesce(F.col("small_prediction").isin(*UNDECIDED), F.lit(True))
+    unsure = F.coalesce(F.col("confidence") < bootstrap, F.lit(True))
     if not trained:
-        return undecided | (F.col("confidence") < bootstrap)
-    wish = F.coalesce(F.col("p_agree") < threshold, F.lit(True))
+        return undecided | unsure
+    wish = F.col("p_agree") < threshold
     if veto is not None:
-        wish = wish & ~(F.col("confidence") >= veto)
-    return undecided | wish
+        wish = wish & ~F.coalesce(F.col("confidence") >= veto, F.lit(False))
+    return undecided | F.when(F.col("p_agree").isNull(), unsure).otherwise(wish)
 
 
 ROUTERS: dict[str, Callable[..., Column]] = {"all_small": all_small, "confidence_threshold": by_confidence, "automix": by_verification, "learned": learned}
-#: These need a large model; all_big has no small call at all.
+#: These cannot run without a large model; all_big has no small call at all.
 NEEDS_LARGE = ("all_big", "confidence_threshold", "automix", "learned")
 
 
+def needs_large(name: str, generates: bool = False) -> bool:
+    """Whether a large model must be reachable: some routers ask for it, and so does the making of lessons."""
+    return generates or name in NEEDS_LARGE
+
+
 def router(name: str, **settings) -> Column:
     if name not in ROUTERS:
         raise KeyError(f"unknown router {name!r}; known: {sorted(ROUTERS)}")
     return ROUTERS[name](**settings)
 
 
-def point_features() -> Column:
-    """14 numbers a learned router sees of a point; defaults where something is missing."""
-    d = lambda name, value: F.coalesce(F.col(name).cast("double"), F.lit(float(value)))
+#: What a learned router sees of a point, in order.
+POINT = (
+    "p_yes", "p_no", "confidence", "margin", "entropy_2way", "logprob_yes", "logprob_no", "says_yes",
+    "text_length", "description_length", "doc_seen", "doc_rate", "query_seen", "query_rate",
+)
+
+
+def point_features(columns: list[str], length: Column | None = None) -> Column:
+    """The 14 numbers of POINT. columns: those at hand; what is missing or null has its neutral value.
+
+    length: characters of the text, where the text itself is not at hand.
+    """
+
+    def value(name: str, neutral: Column | float) -> Column:
+        neutral = neutral if isinstance(neutral, Column) else F.lit(float(neutral))
+        return F.coalesce(F.col(name).cast("double"), neutral) if name in columns else neutral
+
+    yes, no = value("p_yes", 0.5), value("p_no", 0.5)
     said = F.col("small_prediction")
+    chars = length if length is not None else F.length("text") if "text" in columns else F.lit(0)
+    described = F.length("query_description") if "query_description" in columns else F.lit(0)
     return F.array(
-        d("confidence", 0.5), d("p_yes", 0), d("p_no", 0), d("p_unsure", 0), d("margin", 0), d("entropy_2way", 0), d("entropy_3way", 0),
-        F.coalesce((said == "Yes").cast("double"), F.lit(0.0)), F.coalesce((said == "No").cast("double"), F.lit(0.0)), F.coalesce((said == "Unsure").cast("double"), F.lit(0.0)),
-        F.log(1 + F.coalesce(F.length("text"), F.lit(0)).cast("double")), d("n_hits", 0), d("max_cos", 0), d("mean_cos", 0),
+        yes, no, value("confidence", F.greatest(yes, no)), value("margin", F.abs(yes - no)), value("entropy_2way", math.log(2)),
+        value("logprob_yes", -10), value("logprob_no", -10), F.when(said == "Yes", 1.0).when(said == "No", 0.0).otherwise(0.5),
+        F.log(1 + F.coalesce(chars, F.lit(0)).cast("double")), F.coalesce(described, F.lit(0)).cast("double"),
+        value("doc_seen", 0), value("doc_rate", 0.5), value("query_seen", 0), value("query_rate", 0.5),
     )
 
 
+def with_verification(told: DataFrame, votes: Callable[[DataFrame], DataFrame], k: int = 8) -> DataFrame:
+    """Rows with verify_score and what the self-check cost. votes adds votes (array<string>), verify_in, verify_out to rows that have a verdict.
+
+    Undecided rows are not checked; a check that failed (null votes) scores 0 and is charged k calls.
+    """
+    sure = F.coalesce(F.col("small_prediction").isin("Yes", "No"), F.lit(False))
+    checked = votes(told.where(sure)).withColumn("verify_score", verify_score(F.coalesce("votes", F.array().cast("array<string>")))).withColumn("verify_calls", F.lit(k).cast("long")).drop("votes")
+    rest = told.where(~sure).withColumns({"verify_in": F.lit(0).cast("long"), "verify_out": F.lit(0).cast("long"), "verify_score": F.lit(None).cast("double"), "verify_calls": F.lit(0).cast("long")})
+    return checked.unionByName(rest)
+
+
 def decide(small: DataFrame, escalate: Column) -> DataFrame:
+    """small with escalated (a wish that is null counts as yes) and routed_to, where the point went first."""
     return small.withColumn("escalated", F.coalesce(escalate, F.lit(True))).withColumn("routed_to", F.lit("small"))
 
 
@@ -75,6 +115,20 @@ def final(decided: DataFrame) -> DataFrame:
     return decided.withColumn("prediction", F.when(use, F.col("large_prediction")).otherwise(F.col("small_prediction")))
 
 
+def detector_rows(records: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """One row of each held-out point for a detector study: p_agree, the router's wish, and whether the models agree.
+
+    truth: query_name, doc_id, oracle_label, for points whose large verdict is not in the records.
+    """
+    if truth is not None:
+        records = records.join(truth.select("query_name", "doc_id", "oracle_label"), ["query_name", "doc_id"], "left")
+        records = records.withColumn("oracle_label", F.coalesce("large_prediction", "oracle_label"))
+    else:
+        records = records.withColumn("oracle_label", F.col("large_prediction"))
+    agree = F.when(F.col("small_prediction").isin("Yes", "No") & F.col("oracle_label").isin("Yes", "No"), (F.col("small_prediction") == F.col("oracle_label")).cast("int"))
+    return records.select("query_name", "doc_id", "small_prediction", "oracle_label", "p_agree", "escalated", agree.alias("z"))
+
+
 def detector_counts(records: DataFrame) -> DataFrame:
     return records.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("small_prediction").isin("Yes", "No")).alias("n_definitive"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fixed as answered
+
 #: (number, name, description, needs a label)
 PREDICATES = (
     (0, "is_english", "The document is written in English.", False),
@@ -48,15 +50,6 @@ def _g() -> Column:
     return (F.col("doc_id") * 31 + F.col("qid") * 17) % 100
 
 
-def answered(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that plans above take as they are, as with a model's answers.
-
-    Filters do not move below a generator's output, so no condition on an answer turns into the
-    whole computation of it, once for each mention.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def small(points: DataFrame) -> DataFrame:
     """points with the small model's log-probabilities and features."""
     out = answered(points, h=_h())
@@ -74,6 +67,7 @@ def small(points: DataFrame) -> DataFrame:
         out, small_prediction=F.when((y >= n) & (y >= u), "Yes").when(n >= u, "No").otherwise("Unsure"), confidence=F.greatest(y, n), margin=F.abs(y - n),
         entropy_2way=-(share * F.log(share) + (1 - share) * F.log(1 - share)), entropy_3way=-(y * F.log(y) + n * F.log(n) + u * F.log(u)),
     )
+    out = out.withColumns({f"logprob_{c}": F.col(f"lp_{c}") for c in ("yes", "no", "unsure")})
     tokens = {"small_in": F.floor(F.col("n_chars") / 4).cast("long") + 25, "small_out": F.lit(1).cast("long")} if "n_chars" in points.columns else {}
     return out.withColumns(tokens)
 
@@ -92,12 +86,49 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(emb, F.col("doc_id") % n == F.col("vec_id")).select("doc_id", "vec")
 
 
+def described(points: DataFrame) -> DataFrame:
+    """points with the description of their predicate."""
+    table_ = F.create_map(*[F.lit(x) for _, n, d, _ in PREDICATES for x in (n, d)])
+    return points.withColumn("query_description", table_[F.col("query_name")])
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> dict[str, list[float]]:
+    """A vector for each predicate: that of its number. A convention of the fixture."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < len(PREDICATES)).collect()
+    held = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in rows}
+    return {n: held[q] for q, n, _, _ in PREDICATES if q in held}
+
+
 def lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pool from the benchmark table: 40 lessons, dealt over the predicates."""
+    """A pool from the benchmark table: every item that has a vector, dealt over the predicates, with a document as its source."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    pool = table(spark, sf_dir, "benchmark").where("item_id < 40")
     names = F.array(*[F.lit(n) for _, n, _, _ in PREDICATES])
-    return pool.join(emb, pool["item_id"] == emb["vec_id"]).select(
+    pool = table(spark, sf_dir, "benchmark").join(emb, F.col("item_id") == F.col("vec_id")).select(
         F.format_string("exp_%03d", "item_id").alias("experience_id"), F.element_at(names, (F.col("item_id") % len(PREDICATES)).cast("int") + 1).alias("source_query"),
         (F.col("item_id") * 3).alias("source_doc_id"), F.col("text").alias("experience_text"), "vec",
     )
+    return pool
+
+
+def with_sources(pool: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lessons with the text of their source document and its vector."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_doc_id"), F.col("text").alias("source_doc_excerpt"))
+    own = vectors(spark, sf_dir).select(F.col("doc_id").alias("source_doc_id"), F.col("vec").alias("excerpt_vec"))
+    return pool.join(docs, "source_doc_id", "left").join(own, "source_doc_id", "left")
+
+
+def made(spark: SparkSession, sf_dir: str):
+    """A stage that makes a lesson of each trigger, as two model calls would; every seventh document's answer cannot be read."""
+    own = vectors(spark, sf_dir).select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
+
+    def stage(triggers: DataFrame) -> DataFrame:
+        bad = F.col("doc_id") % 7 == 0
+        text = F.concat(F.lit("For "), F.col("query_name"), F.lit(" the answer is "), F.col("large_prediction"))
+        rows = triggers.select("query_name", "doc_id", "large_prediction").join(own, "doc_id")
+        return rows.select(
+            "query_name", "doc_id", F.when(bad, "unreadable").otherwise("accepted").alias("status"),
+            F.concat(F.lit("online__"), "query_name", F.lit("__doc_"), F.col("doc_id").cast("string")).alias("experience_id"),
+            text.alias("experience_text"), F.lit("").alias("source_doc_excerpt"), "vec", F.col("vec").alias("excerpt_vec"),
+        )
+
+    return stage

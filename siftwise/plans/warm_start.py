@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import confidence, parsing, prompts
 from ..operators import learners, retrieval, sampling
 from ..sources import clients, experiences
+from ..sources.shared import settled
 
 FEATURES = ("confidence", "p_yes", "p_no", "p_unsure", "margin", "entropy_2way", "entropy_3way")
 
@@ -29,10 +30,10 @@ def contrasting_pairs(docs: DataFrame, clusters: int, per_cluster: int, seed: in
 
 def synthesize(pairs: DataFrame, make: Callable[[], clients.Chat]) -> DataFrame:
     """Candidates: conditions written for pairs, kept if a second call confirms both documents' answers."""
-    asked = clients.ask(pairs.withColumn("prompt", prompts.predicate_from_pair(F.col("text"), F.col("other_text"))), make)
-    written = asked.withColumn("predicate", parsing.json_field(F.col("raw"), "condition")).where("predicate is not null").drop("prompt", "raw", "prompt_tokens", "completion_tokens", "error")
+    asked = settled(clients.ask(pairs.withColumn("prompt", prompts.predicate_from_pair(F.col("text"), F.col("other_text"))), make))
+    written = asked.withColumn("predicate", parsing.flat_json_field(F.col("raw"), "condition")).where("predicate is not null").drop("prompt", "raw", "prompt_tokens", "completion_tokens", "error")
     for name, text, wanted in (("first", "text", "Yes"), ("second", "other_text", "No")):
-        checked = clients.ask(written.withColumn("prompt", prompts.question(F.col("predicate"), F.col(text))), make)
+        checked = clients.ask(written.withColumn("prompt", prompts.confirm(F.col("predicate"), F.col(text))), make)
         written = checked.where(F.coalesce(parsing.parse_leading_yes_no(F.col("raw")) == wanted, F.lit(False))).drop("prompt", "raw", "prompt_tokens", "completion_tokens", "error")
     _, _, cand = experiences.synthetic_ids("predicate")
     one = written.withColumn("answers", F.array(F.struct(F.col("doc_id").alias("d"), F.lit("Yes").alias("a")), F.struct(F.col("other_id").alias("d"), F.lit("No").alias("a"))))
@@ -56,7 +57,7 @@ def uncertainty(scored: DataFrame, model) -> DataFrame:
     return learners.predict(model, scored).withColumn("score", F.col("p_agree") * (1 - F.col("p_agree"))).drop("p_agree")
 
 
-def acquire(points: DataFrame, small: Callable, large: Callable, rounds: int, budget: int, working: int, cap: float = 0.95, eps: float = 0.1, seed: int = 0, save: Callable[[DataFrame], DataFrame] = lambda d: d.checkpoint()):
+def acquire(points: DataFrame, small: Callable, large: Callable, rounds: int, budget: int, working: int, cap: float = 0.95, eps: float = 0.1, seed: int = 0, save: Callable[[DataFrame], DataFrame] = settled):
     """Rollouts of all rounds, the last router (or None) and the shared head.
 
     Each round takes a fresh working set in digest order, scores it with the small model, draws
@@ -67,7 +68,7 @@ def acquire(points: DataFrame, small: Callable, large: Callable, rounds: int, bu
     for r in range(rounds):
         fresh = points if done is None else points.join(done.select("pos"), "pos", "left_anti")
         subset = fresh.withColumn("_d", sampling.digest(seed + r, "doc_id", "query_name")).orderBy("_d", "pos").limit(working).drop("_d")
-        scored = small(subset).withColumn("features", F.array(*FEATURES)).withColumn("_one", F.lit(0))
+        scored = save(small(subset).withColumn("features", F.array(*FEATURES)).withColumn("_one", F.lit(0)))
         capped = sampling.under_confidence(scored, ["_one"], cap, budget, "pos")
         shares = sampling.acquisition(uncertainty(capped, model), ["_one"], "score", eps)
         drawn = retrieval.draw(shares, ["_one"], F.col("q"), "pos", budget, seed + r)

@@ -28,6 +28,16 @@ def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROLLOUT).json(path)
 
 
+def rollout_matrix(rollouts: DataFrame, features: str = "features") -> DataFrame:
+    """rollouts with vector, as learners take it; rows of another width than the first raise when read."""
+    from pyspark.ml.functions import array_to_vector
+
+    width = rollouts.select(F.size(features)).limit(1).collect()
+    n = width[0][0] if width else 0
+    checked = F.when(F.size(features) == n, F.col(features)).otherwise(F.raise_error(F.lit("rollouts have features of different widths")).cast("array<double>"))
+    return rollouts.withColumn("vector", array_to_vector(checked))
+
+
 def write(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)
 

@@ -4,14 +4,12 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siftwise.operators import baselines, learners, metrics, prefix, retrieval, routing, sampling
 from siftwise.sources import cache, clients, config, experiences
 from siftwise.sources import points as pts
-from siftwise.streaming import online
 
 
 def test_metrics_edge_cases(spark):
@@ -120,20 +118,53 @@ def test_config(tmp_path):
     assert config.as_flags({"a_b": True, "c": [1, 2], "d": None, "e": False, "f": 3}) == ["--a-b", "--c", "1", "2", "--f", "3"]
 
 
-def test_mmr():
+def test_mmr(spark):
     e = np.eye(3)
-    short = pd.DataFrame({"experience_id": ["a", "b", "c"], "cos": [0.9, 0.8, 0.5], "exp_vec": [e[0], e[0], e[1]]})
-    assert retrieval.diverse(short, 2, 1.0) == [0, 1]
-    assert retrieval.diverse(short, 2, 0.5) == [0, 2]
-    assert retrieval.diverse(short.assign(exp_vec=[None] * 3), 3, 0.5) == [0, 1, 2]
+    cos, vectors = np.array([0.9, 0.8, 0.5]), [e[0], e[0], e[1]]
+    assert retrieval.diverse(cos, vectors, 2, 1.0) == [0, 1]
+    assert retrieval.diverse(cos, vectors, 2, 0.5) == [0, 2]
+    assert retrieval.diverse(cos, [None] * 3, 3, 0.5) == [0, 1, 2]
+    rows = [(1, i, float(c), [float(x) for x in v]) for i, c, v in zip("abc", cos, vectors, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, experience_id string, cos double, exp_vec array<double>")
+    assert [r.experience_id for r in retrieval.mmr(df, ["doc_id"], 2, 0.5).orderBy("rank").collect()] == ["a", "c"]
 
 
 def test_bm25(spark):
-    docs = spark.createDataFrame([(1, "apple pear"), (2, ""), (3, None)], "doc_id long, text string")
-    lessons = spark.createDataFrame([("e", "apple apple fig"), ("f", "plum")], "experience_id string, experience_text string")
+    """Frequencies and the mean length are the documents', not the lessons'."""
+    docs = spark.createDataFrame([(1, "apple pear"), (2, ""), (3, None), (4, "pear plum fig")], "doc_id long, text string")
+    lessons = spark.createDataFrame([("e", "apple apple fig"), ("f", "cherry")], "experience_id string, experience_text string")
     got = {(r.doc_id, r.experience_id): r.bm25 for r in retrieval.bm25(docs, lessons).collect()}
-    idf = round(math.log((2 - 1 + 0.5) / 1.5 + 1), 6)
-    assert got == {(1, "e"): pytest.approx(idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2)) / 20, abs=1e-6)}
+    idf = lambda df: math.log((4 - df + 0.5) / (df + 0.5) + 1)
+    add = 1.5 * (0.25 + 0.75 * 3 / (5 / 4))
+    assert got == {(1, "e"): pytest.approx(idf(1) * 2 * 2.5 / (2 + add) / 20), (4, "e"): pytest.approx(idf(1) * 2.5 / (1 + add) / 20)}
+
+
+def test_pools_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (60, 4)).astype(float)  # many ties
+    pool = spark.createDataFrame([(f"e{i:02d}", "pq"[i % 2], v.tolist()) for i, v in enumerate(vectors)], "experience_id string, source_query string, vec array<double>")
+    points = spark.createDataFrame([(i, "pq"[i % 2], rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(20)], "doc_id long, query_name string, vec array<double>")
+    take = lambda same: sorted((r.doc_id, r["rank"], r.experience_id) for r in retrieval.top_k(points, pool, ["doc_id"], 5, same).collect())
+    whole = [take(False), take(True)]
+    for r in points.collect():
+        order = sorted(range(60), key=lambda i: (-float(vectors[i] @ np.array(r.vec)), i))
+        assert [x[2] for x in whole[0] if x[0] == r.doc_id] == [f"e{i:02d}" for i in order[:5]]
+        assert [x[2] for x in whole[1] if x[0] == r.doc_id] == [f"e{i:02d}" for i in order if "pq"[i % 2] == r.query_name][:5]
+    monkeypatch.setattr(retrieval, "SENT_POOL", 13)
+    assert [take(False), take(True)] == whole
+
+
+def test_demonstrations_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "pq"[i % 2], i // 2, rng.integers(-2, 3, 3).astype(float).tolist(), ("Yes", "No", "Unsure")[i % 3]) for i in range(50)]
+    df = spark.createDataFrame(rows, "pos long, query_name string, doc_id long, vec array<double>, prediction string")
+    expected = set()
+    for pos, q, doc, v, _ in rows:
+        past = [(-float(np.dot(v, w)), d) for p, k, d, w, said in rows if k == q and p < pos and d != doc and said != "Unsure"]
+        expected |= {(pos, r, d) for r, (_, d) in enumerate(sorted(past)[:2])}
+    for block in (4, 1000):
+        got = {(r.pos, r["rank"], r.demo_doc) for r in retrieval.demonstrations(df, df, 2, block=block).collect()}
+        assert got == expected
 
 
 def test_sampling(spark):
@@ -192,11 +223,47 @@ def test_refits():
     assert due == [False] * 4 + [True] + [False] * 4 + [True] + [False] * 2
 
 
-def test_beta_lower():
+def test_beta_lower(spark):
     assert baselines.beta_lower(0, 0, 0.9) == pytest.approx(0.1)
     assert baselines.beta_lower(9, 0, 0.95) == pytest.approx(0.05 ** (1 / 10), rel=1e-9)
-    low, high, share = baselines.fit_one_rung([(float(i), int(i >= 20)) for i in range(40)], 0.8, 0.8, 0.9)
-    assert share > 0.9 and low <= high
+    for hits, misses in ((3, 2), (500, 20), (40, 0)):
+        low = baselines.beta_lower(hits, misses, 0.9)
+        assert baselines.reaches(hits, misses, low - 1e-6, 0.9) and not baselines.reaches(hits, misses, low + 1e-6, 0.9)
+    rows = [("q", float(i), int(i >= 20)) for i in range(40)] + [("one", 1.0, 1)]
+    got = {r.query_name: r for r in baselines.fit_one_rung(spark.createDataFrame(rows, "query_name string, x double, large int"), ["query_name"], 0.8, 0.8, 0.9).collect()}
+    assert got["q"].settled > 0.9 and got["q"].low <= got["q"].high and got["one"].settled == 0
+
+
+def test_one_rung_equals_trying_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = sorted((round(float(rng.normal() + y), 1), int(y)) for y in rng.integers(0, 2, 120))
+    xs, ys = [x for x, _ in rows], [y for _, y in rows]
+    best = 0.0
+    for low in sorted({*xs, 99.0}):
+        for high in sorted({-99.0, *xs}):
+            below, above = [y for x, y in rows if x < low], [y for x, y in rows if x > high]
+            if high < low and max([x for x in xs if x < low], default=-99) > high:
+                continue  # the two sides overlap
+            ok = (not below or baselines.beta_lower(below.count(0), below.count(1), 0.9) >= 0.7) and (not above or baselines.beta_lower(above.count(1), above.count(0), 0.9) >= 0.7)
+            best = max(best, (len(below) + len(above)) / len(xs)) if ok else best
+    df = spark.createDataFrame([("q", x, y) for x, y in rows], "query_name string, x double, large int")
+    assert baselines.fit_one_rung(df, ["query_name"], 0.7, 0.7, 0.9).first().settled == pytest.approx(best) and sum(ys)
+
+
+def test_plans_of_several_rungs():
+    rng = np.random.default_rng(6)
+    gold = rng.integers(0, 2, 200)
+    scores = np.array([(gold * 2 - 1) * 1.5 + rng.normal(size=200), (gold * 2 - 1) * 6 + rng.normal(size=200)])
+    plan = baselines.fit_rungs(scores, gold, [1.0, 3.0], 100.0, 0.9, 0.9)
+    assert plan["feasible"] and plan["esc"] < 0.2 and plan["cost"] < 100 and any(plan["pick"])
+    none = baselines.fit_rungs(rng.normal(size=(1, 30)), rng.integers(0, 2, 30), [1.0], 100.0, 0.999, 0.999)
+    assert not none["feasible"]
+
+
+def test_best_threshold_may_take_none(spark):
+    df = spark.createDataFrame([(0.9, 0), (0.8, 0), (0.1, 1)], "x double, truth int").selectExpr("'q' AS query_name", "*")
+    r = baselines.best_threshold(df, ["query_name"], "x").first()
+    assert (r.cut, r.accuracy, r.f1_cut, r.f1) == (None, pytest.approx(2 / 3, abs=1e-6), 0.1, 0.5)
 
 
 def test_band_and_histogram(spark):
@@ -211,19 +278,12 @@ def test_ladder(spark):
     assert got == [(0, 0), (2, 0), (1, 1), (2, 1)]
 
 
-def test_state_survives_a_round_trip():
-    s = online.State()
-    s.fold([{"small_prediction": "Yes", "large_prediction": "No", "query_name": "q", "features": [0.1, 0.2, 0.3, 0.4]}])
-    again = online.State.load(s.dump())
-    assert again.seen == {"q": [1, 0]} and np.allclose(again.heads.whole.mean, s.heads.whole.mean) and again.heads.own["q"].n == 1
-
-
 def test_synthesis_keeps_confirmed_conditions(spark):
     from siftwise.functions import prompts
     from siftwise.plans import warm_start
 
     pairs = spark.createDataFrame([(1, "red apple", 2, "blue sky"), (3, "x", 4, "y")], "doc_id long, text string, other_id long, other_text string")
-    texts = {r.doc_id: r for r in pairs.withColumn("p", prompts.predicate_from_pair(F.col("text"), F.col("other_text"))).withColumn("q", prompts.question(F.lit("Names fruit."), F.col("text"))).collect()}
+    texts = {r.doc_id: r for r in pairs.withColumn("p", prompts.predicate_from_pair(F.col("text"), F.col("other_text"))).withColumn("q", prompts.confirm(F.lit("Names fruit."), F.col("text"))).collect()}
     answers = {texts[1].p: 'Sure: {"condition": "Names fruit."}', texts[1].q: "Yes.", texts[3].p: "no idea"}
     got = warm_start.synthesize(pairs, lambda: clients.Replay(answers, "No")).collect()
     assert sorted((r.predicate, r.doc_id, r.expected_answer) for r in got) == [("Names fruit.", 1, "Yes"), ("Names fruit.", 2, "No")]

@@ -6,15 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from siftwise.operators import metrics
 from siftwise.plans import registry
-from siftwise.plans import simulated as sim
-from siftwise.streaming import online
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 CHECKED = (
     "cascade_confidence", "metrics_per_query", "point_scan", "parse_yes_no", "parse_3way", "parse_zero_shot", "parse_json", "features_collector", "prompt_small", "cache_stats", "cost_abort",
-    "topk_cosine", "helpfulness_rerank", "mmr_select", "bm25_score", "query_history", "generation_cap", "stratified_sample", "conf_cap", "scaledoc_sweep", "taskcascade_replay",
+    "topk_cosine", "helpfulness_rerank", "router_signals", "phi_features", "point_features", "best_threshold", "fewshot_topk", "mmr_select", "bm25_score", "query_history", "generation_cap", "stratified_sample", "conf_cap", "scaledoc_sweep", "taskcascade_replay",
 )
 
 
@@ -44,24 +41,3 @@ def test_against_sql(spark, duck, small_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "doc_id"
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_stream_equals_batch(spark, small_dir, tmp_path):
-    """Two micro-batches of points give the records of two epochs."""
-    points = sim.truths(spark, small_dir)
-    low, high = 0, 200 * sim.STRIDE
-    for k in range(2):
-        part = points.where(f"pos >= {low + k * high // 2} and pos < {low + (k + 1) * high // 2}").coalesce(1)
-        part.write.mode("append").parquet(f"{tmp_path}/points")
-        source = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/points")
-        sink = online.epoch_sink(f"{tmp_path}/out", sim.small, sim.large, 0.8)
-        q = source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
-        q.awaitTermination()
-    streamed = spark.read.parquet(f"{tmp_path}/out/records")
-    state, out = online.State(), None
-    for k in range(2):
-        part = points.where(f"pos >= {low + k * high // 2} and pos < {low + (k + 1) * high // 2}")
-        records, state = online.run_epoch(part, state, sim.small, sim.large, 0.8)
-        out = records if out is None else out.unionByName(records)
-    a = sorted(map(tuple, metrics.binary(streamed, ["query_name"]).collect()))
-    assert a == sorted(map(tuple, metrics.binary(out, ["query_name"]).collect())) and streamed.count() == out.count()
