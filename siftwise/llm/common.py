@@ -19,6 +19,9 @@ NULL_ID = (1 << 63) - 1
 BATCH_ROWS = 512
 #: Salts over which the rows of one group are ranked.
 RANK_BUCKETS = 1024
+#: Rows of keys and numbers that a join sends to every task; larger sides are dealt over salts.
+SENT_ROWS = 1_000_000
+SPREAD = 16
 
 _shipped: set[str] = set()
 
@@ -43,16 +46,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The shared folder in spark.checkpoint.dir. On one machine an unset one becomes a temporary folder; on a cluster that raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
-        return at
-    if (now := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp()}")
-        now = spark.sparkContext.getCheckpointDir()
-    return now
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            at = f"file://{tempfile.mkdtemp()}"
+        spark.sparkContext.setCheckpointDir(at)
+    return at or spark.sparkContext.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -104,6 +106,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             yield b.slice(at)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined (inner or left) to a settled table of keys and numbers, so that a key with a third of all rows is not one task's.
+
+    A table of up to SENT_ROWS rows goes to every task. A larger one is repeated for each of SPREAD salts, over which the
+    rows of a key are dealt.
+    """
+    if right.count() <= SENT_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    rest = [c for c in left.columns if c not in on]  # not a row's place, which a retry could change
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(SPREAD)).cast("int"))
+    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return salted.join(every, [*on, "_salt"], how).drop("_salt")
+
+
 def offsets_before(counts: DataFrame, group: list[str], bucket: str, n: str, out: str) -> DataFrame:
     """For each (group, bucket): the sum of n over the group's earlier buckets."""
     w = Window.partitionBy(*group) if group else Window.partitionBy()
@@ -127,23 +143,17 @@ def gapless_rank(df: DataFrame, group: list[str], salt: Column, order: list[str]
     return ranked.join(before, [*group, "_salt"]).withColumn(out, (F.col("_rn") + F.col("_before")).cast("long")).drop("_rn", "_before", "_salt")
 
 
-def prefix_sum(df: DataFrame, key: str, ties: list[str], value: str, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
+def prefix_sum(df: DataFrame, key: str, ties: list[str], value: str, out: str, rows_per_range: int = 50_000) -> DataFrame:
     """Sum of value over all rows before each row in the order of key, then ties.
 
-    Quantiles of the key (a bounded list) cut the rows into ranges; each range is summed by
-    itself and shifted by the total of the earlier ones. Also returns the range as _range.
+    Rows are dealt into ranges of that order, of about `rows_per_range` rows, and kept so; each range is summed by itself
+    and shifted by the total of the earlier ones. Also returns the range as _range.
     """
-    n = df.count()
-    parts = max(1, min(4096, -(-n // rows_per_bucket)))
-    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    ranges = F.lit(0)
-    if cuts:
-        ranges = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col(key)))
-    cut = df.withColumn("_range", ranges.cast("int"))
-    totals = cut.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = offsets_before(totals, [], "_range", "_sum", "_before")
+    parts = max(1, -(-df.count() // rows_per_range))
+    cut = checkpointed(df.repartitionByRange(parts, key, *ties).withColumn("_range", F.spark_partition_id()))
+    before = offsets_before(cut.groupBy("_range").agg(F.sum(value).alias("_sum")), [], "_range", "_sum", "_before")
     w = Window.partitionBy("_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0))).join(before, "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before")
+    return cut.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0))).join(F.broadcast(before), "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before")
 
 
 @contextlib.contextmanager
