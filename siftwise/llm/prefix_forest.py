@@ -3,9 +3,9 @@
 Each tree gives a vector a hash string: one bit for each of `BITS` random planes. Rows are filed
 in blocks; a block keeps, for each tree, its rows' strings as a sorted array. A query descends
 every tree to its longest matching prefix, then ascends all trees together, bit by bit; at each
-depth it scores the rows that share the prefix in some tree. It stops at the depth where a row
-as near as the best k so far would have been met in some tree with probability `RECALL` or more:
-near neighbours end the ascent early, far ones make it go on, in data of any size.
+depth it scores the rows that share the prefix in some tree. It stops at the depth, and within it at
+the tree, at which a row as near as the best k so far would have been met with probability `RECALL`
+or more: near neighbours end the ascent early, far ones make it go on, in data of any size.
 
 Queries meet every block in turn: both sides are cut into blocks, each pair of blocks is one
 group, and of each group only the best k of each query go on.
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES, BITS, RECALL = 32, 32, 0.95
-#: Rows and queries of one block.
-ROWS, QUERIES = 8192, 1024
+TREES, BITS, RECALL = 64, 32, 0.9
+#: Rows of a block (larger ones are read to a smaller share), and queries that a block's forest is built for at most and at least.
+ROWS, QUERIES, FEW = 65_536, 32_768, 256
 SEED = 11
 
 
@@ -63,6 +63,8 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, flat: np.ndarray, trees: int, bits: int):
         self.ids, self.x, self.bits, self.trees = ids, x, bits, trees
+        self.light = x.astype(np.float32)  # what ranges are scored by; the best are scored anew in double precision
+        self.read = 0  # rows scored for all queries
         self.longest_row = float(np.sqrt((x * x).sum(1)).max())
         hashed = strings(x, flat, trees, bits)
         order = np.argsort(hashed, axis=1, kind="stable")
@@ -113,6 +115,7 @@ class _Query:
 
     def __init__(self, forest: Forest, own: int, q: np.ndarray, k: int, recall: float):
         self.forest, self.own, self.q, self.k, self.recall = forest, own, q, k, recall
+        self.light = q.astype(np.float32)
         self.size = math.sqrt(float(q @ q))
         self.seen = forest.ids == own
         self.rows: list[np.ndarray] = []
@@ -120,24 +123,35 @@ class _Query:
         self.met, self.done = 0, False
 
     def look(self, depth: int, low: list[int], high: list[int]) -> None:
-        """Score the rows of the trees' ranges at a depth, and see whether to ascend."""
+        """Score the rows of the trees' ranges at a depth: of all trees, or of as many as the wanted chance asks for."""
+        f = self.forest
+        trees = self.trees_needed(depth)
+        if trees:
+            mark = np.zeros(len(f.ids), bool)
+            mark[np.concatenate([order[a:b] for order, a, b in zip(f.order[:trees], low, high, strict=False)])] = True
+            mark &= ~self.seen
+            new = np.flatnonzero(mark)
+            if len(new):
+                self.seen |= mark
+                self.rows.append(new)
+                self.scores.append(f.light[new] @ self.light)
+                self.met += len(new)
+                f.read += len(new)
+        self.done = trees < f.trees
+
+    def trees_needed(self, depth: int) -> int:
+        """How many trees must ascend to this depth, when all were one deeper, for the wanted chance to have met the k best."""
         f = self.forest
-        mark = np.zeros(len(f.ids), bool)
-        mark[np.concatenate([order[a:b] for order, a, b in zip(f.order, low, high, strict=True)])] = True
-        mark &= ~self.seen
-        new = np.flatnonzero(mark)
-        if len(new):
-            self.seen |= mark
-            self.rows.append(new)
-            self.scores.append(f.x[new] @ self.q)
-            self.met += len(new)
         if self.met < self.k or not depth:
-            return
+            return f.trees
         total = np.concatenate(self.scores)
-        bound = -np.partition(-total, self.k - 1)[self.k - 1]
+        bound = float(-np.partition(-total, self.k - 1)[self.k - 1])
         # the chance that a bit is shared with a row at the widest angle at which the longest row scores as the k-th best
         near = 1 - math.acos(max(-1.0, min(1.0, bound / (self.size * f.longest_row)))) / math.pi
-        self.done = 1 - (1 - near**depth) ** f.trees >= self.recall
+        here, before = math.log1p(-min(near**depth, 1 - 1e-12)), math.log1p(-min(near ** (depth + 1), 1 - 1e-12))
+        if here >= before:
+            return 0
+        return max(0, min(f.trees, math.ceil((math.log1p(-self.recall) - f.trees * before) / (here - before))))
 
     def best(self) -> list[tuple[int, int, float]]:
         if not self.met:
@@ -145,8 +159,8 @@ class _Query:
         f = self.forest
         found, total = np.concatenate(self.rows), np.concatenate(self.scores)
         if len(total) > self.k:
-            bound = -np.partition(-total, self.k - 1)[self.k - 1]
-            found = found[total >= bound - 1e-9 * (abs(bound) + 1)]
+            bound = float(-np.partition(-total, self.k - 1)[self.k - 1])
+            found = found[total >= bound - 1e-5 * (self.size * f.longest_row + abs(bound))]
         scores = exact(f.x[found], self.q)
         order = np.lexsort((f.ids[found], -scores))[: self.k]
         return [(self.own, int(f.ids[i]), float(v)) for i, v in zip(found[order], scores[order], strict=True)]
@@ -183,7 +197,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = TREES, bits:
     rows = common.checkpointed(usable(vectors))
     asked = rows.where(is_query)
     n, m = rows.count(), asked.count()
-    parts, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(m / block_queries))
+    parts = max(1, math.ceil(n / block_rows))
+    # rows are copied once for each group of queries: as few groups as tasks are wanted
+    groups = max(1, math.ceil(m / block_queries), min(math.ceil(m / FEW), math.ceil(spark.sparkContext.defaultParallelism / parts)))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("group", every(groups))
     right = asked.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", every(parts))
