@@ -4,8 +4,8 @@ Documents are encoded once; a document longer than a sequence is cut so that onl
 piece may be short. What is left to decide depends on the count of pieces of each length alone,
 at most `capacity` numbers. The driver searches over those: around the largest remaining length
 it enumerates fillings of the rest of a sequence that no other filling dominates, applies one as
-often as the counts allow, and goes on; branches that cannot beat the incumbent by the waste
-bound are cut off. The first incumbent is the best-fit packing. The plan maps (length, rank of
+often as the counts allow (later also half as often, and once), and goes on; branches that cannot
+beat the incumbent by the waste bound are cut off. The first incumbent is the best-fit packing. The plan maps (length, rank of
 the piece among its length) to a sequence and an offset, so placing pieces needs no grouping.
 
 Defined results: a null text counts as empty and gives the end id alone; rows with a null
@@ -173,10 +173,14 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tupl
         big = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[big] -= 1
+        fewer = []
         for filling in undominated(capacity - big, rest):
             need = dict(filling)
             need[big] = need.get(big, 0) + 1
-            yield tuple(sorted(need.items(), reverse=True)), min(int(left[x]) // c for x, c in need.items())
+            pattern, most = tuple(sorted(need.items(), reverse=True)), min(int(left[x]) // c for x, c in need.items())
+            yield pattern, most
+            fewer += [(pattern, n) for n in sorted({most // 2, 1}, reverse=True) if 0 < n < most]
+        yield from fewer
 
     stack.append(branches() if left.any() else iter(()))
     while stack and best > goal and nodes > 0:

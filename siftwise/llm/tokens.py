@@ -44,20 +44,30 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives."""
+    """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives.
 
-    _loaded: dict[str, "Encoder"] = {}
+    As there, a text that holds the string of an added token of the file (such as an end of text) has that token's id in
+    its place; with plain=True such strings are ordinary text, as after encode_special_tokens = True.
+    """
+
+    _loaded: dict[tuple[str, bool], "Encoder"] = {}
 
     @classmethod
-    def load(cls, path: str) -> "Encoder":
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def load(cls, path: str, plain: bool = False) -> "Encoder":
+        if (path, plain) not in cls._loaded:
+            cls._loaded[path, plain] = cls(path, plain)
+        return cls._loaded[path, plain]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = plain
+        self.whole = whole
+        self.added: list[bytes] = []  # strings that make a text one for the library itself
+        for token in whole.get_added_tokens_decoder().values():
+            if not (plain and token.special) and token.content:
+                self.added.append(token.content.encode())
         if whole.normalizer is not None or type(whole.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("only byte-level vocabularies without a normalizer are known here")
         self.model = whole.model
@@ -163,6 +173,10 @@ class Encoder:
         upto = np.concatenate([[0], ends])[np.searchsorted(begins, np.cumsum(sizes))]
         return ids, np.diff(upto, prepend=0)
 
+    def _with_added(self, text: bytes) -> np.ndarray:
+        """Ids of a text that holds an added token's string, by the library."""
+        return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, without an end id. Long texts are cut where a pre-token must start."""
         held: list[bytes] = []
@@ -180,6 +194,12 @@ class Encoder:
                 at = end
 
         for text in texts:
+            if any(a in text for a in self.added):
+                if parts:
+                    yield from flush()
+                    held, parts, size = [], [], 0
+                yield self._with_added(text)
+                continue
             if len(text) > RUN_BYTES:
                 if parts:
                     yield from flush()
