@@ -8,13 +8,18 @@ rule's, and the longest one decides. For the others, each host has a tree of pat
    counted shapes, so a host with a third of all pages is no larger than others.
 2. Level by level from the host down, the children of a node become one wildcard if they are
    many and mostly rare.
-3. Sibling branches below one node that differ in a single segment are merged as long as their
-   shares of good labelled pages do not differ by a two-proportion test.
-4. A template is rejected if the share of good among its labelled pages, smoothed towards the
-   corpus's, is below the limit.
+3. Level by level from the leaves up, sibling branches below one node that differ in a single
+   segment are merged as long as their shares of good labelled pages do not differ by a
+   two-proportion test, in the order of their shares. Shares are counted in 1/256 steps, so a node
+   may have any number of children. Siblings without labelled pages say nothing and are one branch
+   of their own.
+4. A template is rejected if the share of good among its labelled pages is below the limit. The
+   share is smoothed towards that of the same template on all hosts, and that towards the
+   corpus's, so a host with few labels is judged by what others show.
 
 Labels are a table (page_id, good). Here they come from the documents that the urls name by
-number, as `labels` marks them; a page of a template without labels has the corpus's share.
+number, as `labels` marks them; a page of a template without labels has the share of its
+template elsewhere, or the corpus's.
 
 Defined results: a null url, or one without ://, has an empty host and path, and is judged with
 the others of that host; an empty segment is a segment; what follows the 16th segment counts as
@@ -37,14 +42,14 @@ from . import common
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: More children than this, if they average fewer pages than the second number, are one wildcard.
 MANY, RARE = 24, 8
-#: No node keeps more literal children than this.
-MOST_CHILDREN = 512
 LEVELS = 16
+#: Steps in which shares are counted.
+STEPS = 256
 #: Labelled pages that the corpus's share of good weighs as much as; share below which a template goes.
 PRIOR, LIMIT = 8.0, 0.5
 #: Shares that differ by fewer standard errors are similar.
 SIMILAR = 1.64
-WILD, MERGED = "*", "+"
+WILD, MERGED, UNSEEN = "*", "+", "+?"
 
 _VARIABLE = r"^(?:\d+|[0-9a-fA-F]{8,}|\d{4}-\d{2}-\d{2}|(?=[^/]*\d)(?=[^/]*[A-Za-z])[A-Za-z0-9_-]{6,})(\.[A-Za-z0-9]{1,5})?$"
 
@@ -86,32 +91,34 @@ def _generalise(shapes: DataFrame) -> DataFrame:
         now = now.withColumn("_at", at).withColumn("_above", F.array_join(held, "/"))
         children = now.where("_at is not null").groupBy("host", "_above", "_at").agg(F.sum("n").alias("n"))
         nodes = children.groupBy("host", "_above").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("pages"))
-        wide = nodes.where((F.col("kinds") > MOST_CHILDREN) | ((F.col("kinds") > MANY) & (F.col("pages") < RARE * F.col("kinds")))).select("host", "_above", F.lit(True).alias("_wide"))
+        wide = nodes.where((F.col("kinds") > MANY) & (F.col("pages") < RARE * F.col("kinds"))).select("host", "_above", F.lit(True).alias("_wide"))
         joined = now.join(wide, ["host", "_above"], "left")
         changed = F.transform("template", lambda s, i: F.when((i == level) & F.col("_wide").isNotNull(), F.lit(WILD)).otherwise(s))
         now = common.checkpointed(joined.withColumn("template", changed).drop("_at", "_above", "_wide"))
     return now
 
 
-def merge_siblings(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one parent: the branch of each sibling after merging similar ones, most alike first.
+def merge_steps(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one parent: the branch of each step of shares, after merging similar ones in order. rows: step (-1: no labels), n (siblings), seen, good.
 
-    rows: seg, seen, good. Branches are joined greedily in the order of their shares.
+    branch is null where a branch is a single sibling, which keeps its segment.
     """
-    branches = []
-    for seg, seen, good in sorted(zip(rows["seg"], rows["seen"], rows["good"], strict=True), key=lambda r: (r[2] / r[1] if r[1] else 2.0, r[0])):
-        if branches and _similar(branches[-1][1], branches[-1][2], seen, good):
-            last = branches[-1]
-            branches[-1] = ([*last[0], seg], last[1] + seen, last[2] + good)
+    branches: list[list] = []
+    for step, n, seen, good in sorted(zip(rows["step"], rows["n"], rows["seen"], rows["good"], strict=True)):
+        last = branches[-1] if branches else None
+        if last and last[0][0] >= 0 and _similar(last[2], last[3], seen, good):
+            last[0].append(step)
+            last[1:] = [last[1] + n, last[2] + seen, last[3] + good]
         else:
-            branches.append(([seg], seen, good))
-    found = {s: (MERGED + "|".join(sorted(names)) if len(names) > 1 else s) for names, _, _ in branches for s in names}
-    return rows.assign(branch=rows["seg"].map(found))[["host", "above", "below", "seg", "branch"]]
+            branches.append([[step], n, seen, good])
+    names = {}
+    for steps, n, _, _ in branches:
+        name = UNSEEN if steps[0] < 0 else f"{MERGED}{steps[0] / STEPS:.3f}-{steps[-1] / STEPS:.3f}"
+        names |= dict.fromkeys(steps, name if n > 1 else None)
+    return rows.assign(branch=rows["step"].map(names))[["host", "above", "below", "step", "branch"]]
 
 
 def _similar(n1: int, k1: int, n2: int, k2: int) -> bool:
-    if not n1 or not n2:
-        return True
     p = (k1 + k2) / (n1 + n2)
     error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n2))
     return abs(k1 / n1 - k2 / n2) <= SIMILAR * error
@@ -128,9 +135,12 @@ def templates(shapes: DataFrame) -> DataFrame:
         seg = F.when(has, F.get("template", F.lit(level)))
         keyed = now.withColumn("above", above).withColumn("below", below).withColumn("seg", seg)
         kinds = keyed.where("seg is not null").groupBy("host", "above", "below", "seg").agg(F.sum("seen").alias("seen"), F.sum("good").alias("good"))
-        # at most MOST_CHILDREN siblings in a group
-        merged = kinds.groupBy("host", "above", "below").applyInPandas(merge_siblings, "host string, above string, below string, seg string, branch string")
-        joined = keyed.join(merged, ["host", "above", "below", "seg"], "left")
+        kinds = common.checkpointed(kinds.withColumn("step", F.when(F.col("seen") > 0, F.floor(F.col("good") * STEPS / F.col("seen") + 0.5)).otherwise(-1).cast("int")))
+        steps = kinds.groupBy("host", "above", "below", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("seen").alias("seen"), F.sum("good").alias("good"))
+        # at most STEPS + 2 rows in a group
+        merged = steps.groupBy("host", "above", "below").applyInPandas(merge_steps, "host string, above string, below string, step int, branch string").where("branch is not null")
+        named = common.spread_join(kinds.select("host", "above", "below", "seg", "step"), common.checkpointed(merged), ["host", "above", "below", "step"]).drop("step")
+        joined = common.spread_join(keyed, common.checkpointed(named), ["host", "above", "below", "seg"], "left")
         changed = F.transform("template", lambda s, i: F.when((i == level) & F.col("branch").isNotNull(), F.col("branch")).otherwise(s))
         now = common.checkpointed(joined.withColumn("template", changed).drop("above", "below", "seg", "branch"))
     return now.withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/")))
@@ -147,11 +157,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Iterable[tuple[str, str, s
     counted = urls.join(told, "page_id", "left").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("seen"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     named = templates(common.checkpointed(counted))
     pure = named.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("good").alias("good"))
+    everywhere = named.groupBy("template").agg(F.sum("seen").alias("all_seen"), F.sum("good").alias("all_good"))
     whole = counted.agg(F.sum("seen"), F.sum("good")).first()
     share = (whole[1] + 1) / (whole[0] + 2) if whole[0] else 0.5
-    purity = (F.col("good") + F.lit(PRIOR * share)) / (F.col("seen") + F.lit(PRIOR))
-    known = named.select("host", "shape", "template").join(pure.select("host", "template", purity.alias("purity")), ["host", "template"])
-    out = urls.join(known, ["host", "shape"], "left")
+    smoothed = lambda good, seen, prior: (F.col(good) + PRIOR * prior) / (F.col(seen) + F.lit(PRIOR))
+    judged = pure.join(everywhere, "template").withColumn("purity", smoothed("good", "seen", smoothed("all_good", "all_seen", F.lit(share))))
+    known = common.checkpointed(named.select("host", "shape", "template").join(judged.select("host", "template", "purity"), ["host", "template"]).select("host", "shape", "template", "purity"))
+    out = common.spread_join(urls, known, ["host", "shape"], "left")
     decided = F.coalesce("ruled", F.when(F.col("purity") < min(LIMIT, share), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", decided.alias("verdict"), "template", "purity")
 
