@@ -54,8 +54,10 @@ def _dimensions(docs: DataFrame, dimensions: list[str]) -> DataFrame:
     names = [f"d{i}" for i in range(len(columns))] or ["d0"]
     if not columns:
         rows = rows.withColumn("d0", F.lit(0).cast("double"))
-    groups = rows.groupBy("text_key").agg(F.min(F.struct("id_key", *names)).alias("g")).select("text_key", *[F.col(f"g.{n}").alias(f"g_{n}") for n in names])
-    return rows.drop(*names).join(groups, "text_key")
+    # a text that occurs once needs no other row's metadata
+    groups = rows.groupBy("text_key").agg(F.min(F.struct("id_key", *names)).alias("g"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "g")
+    found = common.spread_join(rows, common.checkpointed(groups), ["text_key"], "left")
+    return found.select("*", *[F.coalesce(f"g.{n}", n).alias(f"g_{n}") for n in names]).drop("g", *names)
 
 
 def _number(c: Column, kind: str) -> Column:

@@ -375,10 +375,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         known = classes.select("print").join(tree.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("label"))
         wide = linked(common.checkpointed(known), distance)
         tree = components(wide.union(tree.select("node", "root")))
-    rooted = classes.join(tree.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    members = rooted.select("print", "root").join(lowest, "root")
-    return rows.join(members, "print").select("id_key", "text_key", "print", "root", "component")
+    rooted = common.checkpointed(classes.join(tree.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print")))
+    lowest = common.checkpointed(rooted.groupBy("root").agg(F.min("first").alias("component")))
+    members = common.checkpointed(common.spread_join(rooted.select("print", "root"), lowest, ["root"]))
+    return common.spread_join(rows, members, ["print"]).select("id_key", "text_key", "print", "root", "component")
 
 
 def near_duplicate_ids(docs: DataFrame) -> DataFrame:
@@ -393,7 +393,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
 
 
 def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of docs for each root of found (id_key, text_key, root), that of the smallest keys."""
-    kept = found.groupBy("root").agg(F.min(F.struct("id_key", "text_key")).alias("k")).select("k.id_key", "k.text_key")
+    """One row of docs for each root of found (id_key, text_key, root), that of the smallest keys.
+
+    Texts move only where rows repeat a kept one's id and text, or where the keys to keep are too many to send.
+    """
+    keys = ["id_key", "text_key"]
+    kept = found.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+    repeated = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = common.checkpointed(kept.join(repeated, keys, "left").select(*keys, F.col("n").isNotNull().alias("_again")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.id_key().alias("id_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
-    return rows.join(kept, ["id_key", "text_key"]).dropDuplicates(["id_key", "text_key"]).select("row.*")
+    named = common.spread_join(rows, kept, keys)
+    once = named.where("_again").dropDuplicates(keys)
+    return named.where("not _again").select("row.*").union(once.select("row.*"))
