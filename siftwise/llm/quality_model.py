@@ -147,18 +147,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
-    """Labelled documents to learn from: those of the least hashes, at most `rows` and about `most_bytes`."""
+    """Labelled documents to learn from: those of the least hashes, at most `rows` and about `most_bytes`.
+
+    Texts of more than a quarter of those bytes are scored like others, but not learned from.
+    """
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     told = told.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
     picked = told.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(2 * rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''").where(F.octet_length("text") <= most_bytes // 4)
     found = picked.join(texts, "doc_id").select("doc_id", "label", "text").withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
     got, size, out = [], 0, []
     for r in found.orderBy("h", "doc_id", "text").limit(rows).toLocalIterator():
-        size += len(r["text"])
+        text = r["text"].encode()
+        size += len(text)
         if size > most_bytes:
             break
-        got.append(r["text"].encode())
+        got.append(text)
         out.append(r["label"])
     return got, out
 
