@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,7 +43,7 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     live = list(range(len(sizes)))
     while live:
         per = left / sum(w[i] for i in live)
-        over = [i for i in live if per * w[i] > most * sizes[i]]
+        over = {i for i in live if per * w[i] > most * sizes[i]}
         if not over:
             for i in live:
                 out[i] = per * w[i]
@@ -51,7 +51,7 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
         for i in over:
             out[i] = float(most * sizes[i])
             left -= out[i]
-        live = [i for i in live if out[i] == 0.0 and i not in set(over)]
+        live = [i for i in live if i not in over]
     return out
 
 
@@ -122,7 +122,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _drawn(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
-    """rows (doc_id, source, size, text_key and others) with source_size, target, times."""
+    """rows (doc_id, source, size, text_key; no texts) with source_no, source_size, target, base, extra, rank and times."""
     spark = rows.sparkSession
     lengths = common.checkpointed(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(MOST_SOURCES + 1).collect()
@@ -137,14 +137,19 @@ def _drawn(rows: DataFrame, weights: tuple[int, ...], share: float, most: float,
     about = spark.createDataFrame(facts, "source_no long, name string, source_size long, target double, base long, rest double")
 
     def numbered(df: DataFrame) -> DataFrame:
-        return df.join(about, df["source"].eqNullSafe(about["name"])).drop("name", "source")
+        return df.join(about, df["source"].eqNullSafe(about["name"])).drop("name")
 
     plan = numbered(lengths).groupBy("source_no").applyInPandas(_plan, "source_no long, size long, extra long")
     plan = common.checkpointed(plan.where("extra > 0"))
-    ranked = common.gapless_rank(numbered(rows).drop("rest"), ["source_no", "size"], F.xxhash64(F.lit(seed), "doc_id", "text_key"), ["doc_id", "text_key"], "rank", about=plan)
+    ranked = common.gapless_rank(numbered(rows).drop("rest"), ["source_no", "size"], _order(seed), ["doc_id", "text_key"], "rank", about=plan)
     return ranked.withColumn("times", F.col("base") + F.when(F.col("rank") < F.coalesce("extra", F.lit(0)), 1).otherwise(0))
 
 
+def _order(seed: int) -> Column:
+    """What deals the documents of a length over salts, in whose order they are taken."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text_key")
+
+
 def _sized(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), *more)
 
@@ -157,8 +162,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it; documents without words go."""
+    """docs with each row as often as the mix takes it; documents without words go.
+
+    Which rows are taken once more is told by the last one of each source and length, so texts do not move: a row up to
+    that place is taken. Rows that repeat it, id and text alike, are ranked among themselves.
+    """
     common.prepare(docs.sparkSession)
     rows = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = _drawn(rows, weights, share, most, seed).where("size > 0 and times > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    drawn = common.checkpointed(_drawn(common.checkpointed(_sized(docs)), weights, share, most, seed).withColumn("extra", F.coalesce("extra", F.lit(0))).where("size > 0"))
+    place = F.struct(F.pmod(_order(seed), F.lit(common.RANK_BUCKETS)).alias("salt"), "doc_id", "text_key")
+    taken = drawn.where("rank < extra")
+    last = taken.groupBy("source", "size").agg(F.max(place).alias("last"))
+    last = common.checkpointed(last)
+    named = lambda df: df.withColumnsRenamed({"source": "_source", "size": "_size"})
+    ends = F.broadcast(named(last)) if last.count() <= common.SENT_ROWS else named(last)
+    at = drawn.join(ends, _same("source", "size")).where(place == F.col("last"))
+    cut = at.groupBy("source", "size").agg(F.count(F.lit(1)).alias("alike"), F.count_if(F.col("rank") < F.col("extra")).alias("of_them"))
+    facts = drawn.groupBy("source", "size").agg(F.max("base").alias("base"))
+    plan = facts.join(named(last), _same("source", "size"), "left").drop("_source", "_size").join(named(cut), _same("source", "size"), "left").drop("_source", "_size")
+    plan = common.checkpointed(named(plan))
+    known = F.broadcast(plan) if plan.count() <= common.SENT_ROWS else plan  # a row for each source and length
+    out = rows.where("size > 0").join(known, _same("source", "size"))
+    here, end = place, F.col("last")
+    extra = F.when(end.isNull(), 0).when(here < end, 1).when(here == end, F.when(F.col("alike") == F.col("of_them"), 1)).otherwise(0)
+    told = out.select("row", "source", "size", "doc_id", "text_key", "of_them", "base", extra.alias("extra"))
+    sure = told.where("extra is not null").select("row", (F.col("base") + F.col("extra")).alias("times"))
+    # copies of one row, of which some are taken
+    rank = F.row_number().over(Window.partitionBy("source", "size", "doc_id", "text_key").orderBy("of_them"))
+    split = told.where("extra is null").withColumn("_r", rank).select("row", (F.col("base") + F.when(F.col("_r") <= F.col("of_them"), 1).otherwise(0)).alias("times"))
+    both = sure.union(split).where("times > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def _same(source: str, size: str) -> Column:
+    return F.col(source).eqNullSafe(F.col(f"_{source}")) & (F.col(size) == F.col(f"_{size}"))

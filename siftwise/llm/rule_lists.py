@@ -84,17 +84,13 @@ def _measure(names: list[str]):
     return run
 
 
-def measured(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
-    """doc_id (or row, all columns as a struct, too) and the statistics of every text."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, id_key, text_key and the statistics of every text."""
     common.prepare(docs.sparkSession)
-    names = ["doc_id"]
-    columns = [F.col("doc_id").cast("long").alias("doc_id")]
-    if whole_rows:
-        names.append("row")
-        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    slim = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.select(*names).schema)
-    return slim.mapInArrow(_measure(names), f"{kinds}, {', '.join(f'{c} long' for c in _COUNTS)}")
+    names = ["doc_id", "id_key", "text_key"]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.id_key().alias("id_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return slim.mapInArrow(_measure(names), f"doc_id long, id_key long, text_key long, {', '.join(f'{c} long' for c in _COUNTS)}")
 
 
 #: What conditions look at, as Spark expressions of the counts.
@@ -230,7 +226,11 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the base rules or the learned list reject."""
-    rules = fit(measured(docs), labels)
-    out = measured(docs, whole_rows=True).where(~base_failed() & ~rejects(rules))
-    return out.select("row.*")
+    """docs without those that the base rules or the learned list reject.
+
+    Texts are measured once; what is rejected, as keys of id and text, is then left out of the rows.
+    """
+    stats = common.checkpointed(measured(docs))
+    rejected = common.checkpointed(stats.where(base_failed() | rejects(fit(stats, labels))).select("id_key", "text_key", F.lit(True).alias("_rejected")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.id_key().alias("id_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
+    return common.spread_join(rows, rejected, ["id_key", "text_key"], "left").where("_rejected is null").select("row.*")
