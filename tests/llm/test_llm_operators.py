@@ -27,7 +27,7 @@ def rows():
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 120))) for _ in range(60)]
     shared = " ".join(rng.choices(vocabulary, k=45))
     texts += [f"{texts[i]} {shared} {texts[i + 1]}" for i in range(6)]
-    texts += [texts[3]] * 3 + ["", None, "   \n\t ", "one", "a b " * 60, "x y z \x1c q", " ".join(rng.choices(vocabulary, k=4000)), "line one two\n" * 12]
+    texts += [texts[3]] * 3 + ["", None, "   \n\t ", "one", "a b " * 60, "x y z \x1c q", " ".join(rng.choices(vocabulary, k=4000)), "line one two\n" * 12, "before <|endoftext|> after"]
     out = [(i, t, "en", f"s{i % 5}" if i % 7 else None, len(t or ""), 7, "q") for i, t in enumerate(texts)]
     return [*out, out[5], out[5], (None, texts[0], None, None, None, None, None), (None, "only here " * 15, "en", "s1", 3, 1, "z")]
 
@@ -48,7 +48,6 @@ def ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
@@ -219,6 +218,17 @@ def test_quality_model(spark, docs, none):
     assert len(odd) == len(rows()) and len({r.score for r in odd if r.doc_id == 5}) == 1
     assert quality_model.score(none, lab).count() == 0
     assert {r.score for r in quality_model.score(d, lab.limit(0)).collect()} == {0.5}
+    # a plain forward pass: the mean of the vectors of all features of all words, the layer, softmax of two classes
+    model = quality_model.train(*quality_model.sample(d, lab, "quality"))
+    text = dict(made)
+    for r in got[:40]:
+        named = [f for w in text[r.doc_id].encode().split() for f in quality_model.features(w)]
+        hidden = sum(model.vectors[f] for f in named) / len(named)
+        one, two = float(hidden @ model.layer) + model.bias, 0.0
+        assert r.score == pytest.approx(np.exp(one) / (np.exp(one) + np.exp(two)), abs=1e-4)
+    huge = spark.createDataFrame([(1, "river " * 900_000)], "doc_id long, text string").unionByName(d.where("doc_id <> 1"))
+    texts, told = quality_model.sample(huge, lab, "quality")
+    assert len(texts) == len(told) > 250 and max(map(len, texts)) < 1000
 
 
 # ---- 5
@@ -241,6 +251,20 @@ def test_kd_shards_are_even_and_split_hot_groups(spark):
     got = kd_shards.sharded(spark.createDataFrame(made, "doc_id long, text string, source string, lang string, n_chars long")).toPandas()
     sizes = got.groupby("shard")["size"].sum()
     assert len(sizes) == 16 and sizes.max() < 1.03 * sizes.mean() and sizes.min() > 0.97 * sizes.mean()
+    # every cut of the tree parts its cell by one dimension of the groups, and equal texts stay together but for the hot one
+    lowest, where = {}, {}
+    for i, text, source, lang, n in made:
+        lowest.setdefault(text, (source, lang, n, i))
+    for doc, shard in zip(got["doc_id"], got["shard"], strict=True):
+        where.setdefault(made[doc][1], set()).add(shard)
+    assert {t for t, s in where.items() if len(s) > 1} <= {"same text again"}
+    for level in range(4):
+        cells = {}
+        for text, shards in where.items():
+            for s in shards:
+                cells.setdefault(s >> (4 - level), ([], []))[s >> (3 - level) & 1].append(lowest[text])
+        for left, right in cells.values():
+            assert any(max(m[k] for m in left) <= min(m[k] for m in right) for k in range(4))
 
 
 # ---- 6
@@ -262,7 +286,10 @@ def test_mixing(docs, none):
     assert all(abs(taken[s] - goal[s]) < 40 for s in order)
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert mixing.mix(none).count() == 0 and mixing.mixed(docs).columns == docs.columns
-    assert mixing.mixed(docs).count() == sum(r.times for r in got if r["size"])
+    often = Counter()
+    for r in got:
+        often[r.doc_id] += r.times if r["size"] else 0
+    assert Counter(r.doc_id for r in mixing.mixed(docs).collect()) == +often
 
 
 def test_targets():
@@ -308,6 +335,83 @@ def test_url_templates(spark):
     assert {r.verdict for r in url_templates.judge(pages.where("page_id >= 100"), labels.limit(0)).collect()} == {"allow"}
 
 
+def plain_templates(urls, labels):
+    """The verdicts of pages without a rule, by a tree in plain Python: nodes, siblings and shares as the docstring has them."""
+    variable = re.compile(r"^(?:\d+|[0-9a-fA-F]{8,}|\d{4}-\d{2}-\d{2}|(?=[^/]*\d)(?=[^/]*[A-Za-z])[A-Za-z0-9_-]{6,})(\.[A-Za-z0-9]{1,5})?$")
+    pages = {}
+    for page, url in urls:
+        m = re.match(r"^.*?://([^/?#]*)([^?#]*)", url)
+        segments = re.sub("^/", "", m[2]).split("/")
+        pages[page] = (m[1].lower(), tuple("*" + (v[1] or "") if (v := variable.match(x)) else x for x in segments))
+    now = {page: list(t) for page, (_, t) in pages.items()}
+    deepest = max(map(len, now.values()))
+    for level in range(deepest):
+        children = {}
+        for page, t in now.items():
+            if len(t) > level:
+                children.setdefault((pages[page][0], tuple(t[:level])), Counter())[t[level]] += 1
+        wide = {k for k, c in children.items() if len(c) > url_templates.MANY and sum(c.values()) < url_templates.RARE * len(c)}
+        for page, t in now.items():
+            if len(t) > level and (pages[page][0], tuple(t[:level])) in wide:
+                t[level] = "*"
+    for level in reversed(range(deepest)):
+        kin = {}
+        for page, t in now.items():
+            if len(t) > level:
+                own = kin.setdefault((pages[page][0], tuple(t[:level]), tuple(t[level + 1 :])), {}).setdefault(t[level], [0, 0, []])
+                own[0] += page in labels
+                own[1] += labels.get(page, 0)
+                own[2].append(page)
+        for members in kin.values():
+            steps = {}
+            for seg, (n, k, _) in members.items():
+                steps.setdefault(int(k * 256 / n + 0.5) if n else -1, []).append(seg)
+            groups = []
+            for step in sorted(steps):
+                segs = steps[step]
+                n, k = (sum(members[x][i] for x in segs) for i in (0, 1))
+                if groups and groups[-1][0] >= 0:
+                    _, names, n1, k1 = groups[-1]
+                    p = (k1 + k) / (n1 + n)
+                    if abs(k1 / n1 - k / n) <= 1.64 * (max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n)) ** 0.5:
+                        groups[-1] = (groups[-1][0], names + segs, n1 + n, k1 + k)
+                        continue
+                groups.append((step, segs, n, k))
+            for g, (_, segs, _, _) in enumerate(groups):
+                if len(segs) > 1:
+                    for x in segs:
+                        for page in members[x][2]:
+                            now[page][level] = ("merged", groups[g][0] if groups[g][0] < 0 else tuple(sorted({int(members[y][1] * 256 / members[y][0] + 0.5) for y in segs})[i] for i in (0, -1)))
+    share = (sum(labels.values()) + 1) / (len(labels) + 2)
+    here, everywhere = {}, {}
+    for page, t in now.items():
+        for table, k in ((here, (pages[page][0], tuple(t))), (everywhere, tuple(t))):
+            c = table.setdefault(k, [0, 0])
+            c[0] += page in labels
+            c[1] += labels.get(page, 0)
+    out = {}
+    for page, t in now.items():
+        (n, k), (m, j) = here[pages[page][0], tuple(t)], everywhere[tuple(t)]
+        out[page] = "block" if (k + 8 * (j + 8 * share) / (m + 8)) / (n + 8) < min(0.5, share) else "allow"
+    return out
+
+
+def test_templates_equal_a_plain_tree(spark):
+    rng = random.Random(12)
+    good = {"news": 0.9, "shop": 0.2, "blog": 0.85, "ads": 0.05}
+    urls, labels = [], {}
+    for i in range(900):
+        host, section = f"h{rng.choice([0, 0, 0, 1, 2, 3])}.test", rng.choice(list(good))
+        tail = rng.choice([f"{rng.randrange(9999)}", f"t{rng.randrange(40)}", "about", f"{rng.randrange(9999)}.html"])
+        urls.append((i, f"https://{host}/{section}/" + (f"{rng.choice('abcd')}/" if i % 3 else "") + tail))
+        if rng.random() < 0.5:
+            labels[i] = int(rng.random() < good[section])
+    got = {r.page_id: r.verdict for r in url_templates.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(sorted(labels.items()), "page_id long, good int")).collect()}
+    assert got == plain_templates(urls, labels) and {"allow", "block"} == set(got.values())
+    kept = [i for i, v in got.items() if v == "allow" and i in labels]
+    assert sum(labels[i] for i in kept) / len(kept) > 0.8  # more than the 0.5 of all
+
+
 # ---- 8
 
 def test_chunk_store(spark, docs, none, ids):
@@ -354,9 +458,20 @@ def test_encoder_equals_the_library(ids):
     rng = random.Random(9)
     letters = list("ab Z9'sdtmrevl \n\t   é漢1٣!$#<|endoftext|> \x1c\x85😀")
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 50))) for _ in range(1500)]
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n", "<|endoftext|", "é<|endoftext|>'s"]
     encoder = Encoder.load(TOKENIZER)
-    for t, got in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+    mixed = texts[:700] + special + texts[700:]
+    for t, got in zip(mixed, encoder.encode([t.encode() for t in mixed]), strict=True):
         assert got.tolist() == ids(t).tolist()[:-1]
+    assert 50256 in ids(special[0]) and ids(special[0]).tolist()[:2] == [64, 220]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    plain.encode_special_tokens = True
+    for t, got in zip(special, Encoder.load(TOKENIZER, plain=True).encode([t.encode() for t in special]), strict=True):
+        assert got.tolist() == plain.encode(t, add_special_tokens=False).ids and 50256 not in got
+    long = " ".join(texts * 80)  # beyond one run
+    assert len(long.encode()) > 3 << 20 and next(encoder.encode([long.encode()])).tolist() == ids(long).tolist()[:-1]
     whole = " ".join(texts)
     parts = list(safe_cuts(whole.encode(), 500))
     assert b"".join(parts) == whole.encode() and len(parts) > 5
@@ -470,6 +585,13 @@ def test_rules_find_what_is_bad(spark):
     labels = spark.createDataFrame([(i, 1 if i % 4 else 0, 0) for i in range(300)], "doc_id long, quality int, toxic int")
     got = rule_lists.verdicts(spark.createDataFrame(made, "doc_id long, text string"), labels).collect()
     assert all(r.kept == (r.doc_id % 4 != 0) for r in got)
+    stats = rule_lists.measured(spark.createDataFrame(made, "doc_id long, text string"))
+    rules = rule_lists.fit(stats, labels)
+    value = lambda r, c: {"mean_chars": r.word_chars / max(r.n_words, 1), "symbol_share": r.n_symbols / max(r.n_words, 1), "n_words": r.n_words, "dup_line_share": r.n_dup_lines / max(r.n_lines, 1), "repeat_share": r.n_repeat_words / max(r.n_words, 1), "upper_share": r.n_upper / max(r.word_chars, 1), "distinct_share": r.n_distinct / max(r.n_words, 1), "end_share": r.n_ends / max(r.n_words, 1)}[c.feature]
+    kept = {r.doc_id: r.kept for r in got}
+    for r in stats.collect():  # the list, condition by condition
+        bad = any(all(value(r, c) >= c.value if c.at_least else value(r, c) <= c.value for c in rule) for rule in rules)
+        assert kept[r.doc_id] == (not bad)
 
 
 def test_repeated_words():

@@ -1,7 +1,7 @@
 """The pipeline's stages on a small table, each against what its operator promises."""
 
 import corpus_pipeline
-from siftwise.llm import mixing, rule_lists, simhash
+from siftwise.llm import mixing, rule_lists, shingle_sets
 
 
 def test_stages(spark, small_dir, tmp_path):
@@ -15,7 +15,7 @@ def test_stages(spark, small_dir, tmp_path):
     labels = spark.read.parquet(f"{small_dir}/labels.parquet")
     kept = rule_lists.verdicts(start, labels).where("kept")
     assert sorted(r.doc_id for r in rules.collect()) == sorted(r.doc_id for r in kept.collect())
-    found = simhash.near_duplicates(rules, distance=corpus_pipeline.NEAR_BITS)
+    found = shingle_sets.near_duplicates(rules)
     assert near.count() == found.select("root").distinct().count()
     assert plain.count() == near.count() and {r.doc_id for r in plain.collect()} == {r.doc_id for r in near.collect()}
     times = {r.doc_id: r.times for r in mixing.mix(plain).where("size > 0 and times > 0").collect()}
