@@ -67,8 +67,21 @@ def test_features_2way_and_collector(spark):
     two = [r["f"] for r in df.select(confidence.features_2way(F.col("y"), F.col("n"), F.lit("No")).alias("f")).collect()]
     assert two[0]["prediction"] == "Yes" and two[0]["p_yes"] == pytest.approx(1 / (1 + math.exp(-1)))
     assert (two[1]["prediction"], two[1]["confidence"], two[1]["p_yes"]) == ("No", 1.0, 0.5)
-    many = [r["f"] for r in df.select(confidence.collector_features(F.col("y"), F.col("n"), F.lit(None).cast("double")).alias("f")).collect()]
+    many = [r["f"] for r in df.select(confidence.collector_features(F.col("y"), F.col("n"), F.lit(None).cast("double"), F.lit("No")).alias("f")).collect()]
     assert many[1]["p_true"] == pytest.approx(1 / 3) and many[2]["p_true"] == 1 and many[2]["entropy"] == 0
+    # the share of the verdict read from the text, though another is larger; the largest where there is no verdict
+    share = 1 / (1 + math.exp(1))
+    assert many[0]["confidence"] == pytest.approx(share) and many[2]["confidence"] == 0
+    other = df.select(confidence.collector_features(F.col("y"), F.col("n"), F.lit(None).cast("double"), F.lit("PARSE_FAIL")).alias("f")).first()["f"]
+    assert other["confidence"] == pytest.approx(1 - share)
+
+
+def test_tokens_of_verdicts(spark):
+    tokens = ["Yes", " t", "FALSE", "Un", "unsure", "true}", "trueish", "no."]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = [tuple(r) for r in df.select(confidence.class_of(F.col("t")), confidence.class_of(F.col("t"), False)).collect()]
+    assert got == [("yes", "yes"), ("yes", "yes"), ("no", "no"), ("unsure", None), ("unsure", None), (None, None), (None, None), (None, None)]
+    assert confidence.plain_content([{"token": "a", "logprob": None, "top_logprobs": [{"token": "b", "logprob": -1}]}]) == [{"token": "a", "logprob": -100.0, "top": [{"token": "b", "logprob": -1.0}]}]
 
 
 def test_agreement(spark):
