@@ -253,10 +253,10 @@ class Logit:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, c: float = 1.0, rounds: int = 50) -> "Logit | None":
-        """Newton steps on the balanced, ridge-penalised likelihood; None with fewer than 20 rows or one class."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, c: float = 1.0, rounds: int = 50, least: int = 20) -> "Logit | None":
+        """Newton steps on the balanced, ridge-penalised likelihood; None with fewer than `least` rows or one class."""
         y = np.asarray(y, float)
-        if len(y) < 20 or len(np.unique(y)) < 2:
+        if len(y) < least or len(np.unique(y)) < 2:
             return None
         mean, scale = x.mean(0), x.std(0)
         scale[scale == 0] = 1.0
@@ -375,13 +375,22 @@ def predict(model, rows: DataFrame, features: str = "features") -> DataFrame:
 
 
 def fit_proxy(rows: DataFrame, features: str = "vec", label: str = "large") -> Callable[[DataFrame], DataFrame]:
-    """A cheap stand-in for the large model: adds proxy, the chance of Yes. With one class it is that class, without rows one half."""
-    classes = [r[0] for r in rows.where(F.col(label).isNotNull()).select(label).distinct().limit(3).collect()]
-    model = fit_router(rows, "logistic", features, label) if len(classes) == 2 else None
-    if model is None:
-        flat = float(classes[0]) if len(classes) == 1 else 0.5 if not classes else float(rows.agg(F.avg(label)).first()[0])
-        return lambda df: df.withColumn("proxy", F.lit(flat))
-    return lambda df: predict(model, df, features).withColumnRenamed("p_agree", "proxy")
+    """A cheap stand-in for the large model: adds proxy, the chance of Yes. With one class it is that class, without rows one half.
+
+    Up to FOLD_ROWS labelled rows are fitted on the driver and scored by an expression; more are fitted where they are.
+    """
+    told = rows.where(F.col(label).isNotNull()).select(F.col(features).alias("x"), F.col(label).alias("y"))
+    held = told.limit(FOLD_ROWS + 1).collect()
+    classes = {r["y"] for r in held}
+    if len(held) > FOLD_ROWS:
+        model = fit_router(rows, "logistic", features, label)
+        if model is not None:
+            return lambda df: predict(model, df, features).withColumnRenamed("p_agree", "proxy")
+    elif len(classes) == 2:
+        logit = Logit.fit(np.array([r["x"] for r in held], float), np.array([r["y"] for r in held]), least=2)
+        return lambda df: df.withColumn("proxy", logit.chance(features))
+    flat = float(classes.pop()) if classes else 0.5
+    return lambda df: df.withColumn("proxy", F.lit(flat))
 
 
 def save_router(model, path: str, threshold: float = 0.5, about: dict | None = None) -> None:
