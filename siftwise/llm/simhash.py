@@ -308,13 +308,26 @@ def _star(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 # ---- components
 
+#: Links that one task settles (16 bytes each).
+FEW_LINKS = 500_000
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        yield from _star(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every linked node, root the smallest of its component.
 
     links: (a, b) of any order. Each round hangs larger neighbours under the smallest one, then
     smaller ones too; a node's smallest neighbour is an aggregate, so no neighbour list is built.
+    Up to FEW_LINKS links, which fit a task, are settled in one.
     """
     edges = common.checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_settle, "a long, b long").toDF("node", "root")
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
