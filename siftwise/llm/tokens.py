@@ -17,7 +17,7 @@ import pyarrow as pa
 #: Texts are encoded in runs of about this many bytes.
 RUN_BYTES = 1 << 21
 #: Distinct pre-tokens whose ids a process keeps; later ones are encoded anew, with the same ids.
-CACHE = 600_000
+CACHE = 400_000
 END_ID = 2
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
