@@ -4,7 +4,8 @@ A window is `window` consecutive words of one document. Words covered by a windo
 starts earlier (smaller doc_id, or same document and earlier start) are removed.
 
 Texts that repeat an earlier document's whole text are one passage from end to end: they are told
-by their digests, covered whole, and take no part in what follows, so a crowd of copies counts once.
+by their SHA-256 digests alone, covered whole, and take no part in what follows, so a crowd
+of copies counts once.
 
 1. Every window is filed under an anchor: the smallest hash among its short word grams. Equal
    windows have equal anchors, and neighbouring windows mostly share one, so a text has few
@@ -17,7 +18,9 @@ by their digests, covered whole, and take no part in what follows, so a crowd of
    run by run, and all segments are streamed through them: every occurrence but the first covers
    its words.
 4. An anchor with very many segments is not for one task. Its windows are counted by aggregation,
-   equal segments first, and its segments are dealt over several shards, each with all passages.
+   equal segments first. Such anchors are taken together in blocks, and the documents that hold their
+   segments are dealt over several shards of a block, each with all its passages; so a document's
+   ranges are joined where they are found, and a crowd of near copies gives a range a document.
 
 Documents are told apart by (doc_id, hash of id and text): a row that repeats another counts as
 the same document and gets the same result; a null doc_id comes last in the order. A null or
@@ -39,6 +42,8 @@ from . import common
 WINDOW, GRAM = 20, 6
 #: Occurrences of one anchor that a single group of a shard gets.
 CROWD = 4096
+#: Crowded anchors taken together, how many such blocks there are at most, and segments of a shard of theirs.
+BLOCK, BLOCKS, SHARD = 256, 1024, 8192
 #: Recurring anchors that are sent to every task (16 bytes each); more are joined.
 SENT_ANCHORS = 2_000_000
 #: Word ranges to remove that are sent to every task (32 bytes each); more are joined.
@@ -120,6 +125,10 @@ class Texts:
         inside = self.doc[:n] == self.doc[window - 1 :]
         new = np.append(True, (place[1:] != place[:-1]) | (self.doc[1:n] != self.doc[: n - 1]))
         at = np.flatnonzero(inside & (new | np.append(True, ~inside[:-1])))
+        long = np.flatnonzero(np.diff(np.append(at, n)) >= _PACK)
+        if len(long):  # a run of one anchor too long to be written down as one
+            at = np.unique(np.concatenate([at, *(np.arange(at[i], at[i + 1] if i + 1 < len(at) else n, _PACK - 1) for i in long.tolist())]))
+            at = at[inside[at]]
         group = np.cumsum(np.bincount(at, minlength=n)) - 1
         self.size = np.bincount(group[inside], minlength=len(at))
         self.anchor, self.first = grams[place[at]].view(np.int64), at
@@ -289,12 +298,19 @@ class _Shard:
                             low, high = min(low, begin), max(high, end)
                             continue
                         if low >= 0:
-                            self.covers.append((id_key, key, at + low, at + high))
+                            self.cover(id_key, key, at + low, at + high)
                         low, high = begin, end
                     if low >= 0:
-                        self.covers.append((id_key, key, at + low, at + high))
+                        self.cover(id_key, key, at + low, at + high)
         self.waiting, self.waiting_size = [], 0
 
+    def cover(self, id_key: int, key: int, begin: int, end: int) -> None:
+        """Add a range, to the last one if they are of one document and touch."""
+        if self.covers and self.covers[-1][:2] == (id_key, key) and begin <= self.covers[-1][3] and end >= self.covers[-1][2]:
+            begin, end = min(begin, self.covers[-1][2]), max(end, self.covers[-1][3])
+            self.covers.pop()
+        self.covers.append((id_key, key, begin, end))
+
     def take(self) -> pa.RecordBatch:
         cols = list(zip(*self.covers, strict=True)) or [()] * 4
         self.covers = []
@@ -327,16 +343,16 @@ def _confirm_and_locate(window: int):
 
 
 def _locate(window: int):
-    """Rows of a group are its passages (kind 0), then its segments."""
+    """Rows of a group are its passages (kind 0), then its segments by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, now = _Shard(window), None
         for b in batches:
-            for anchor, salt, kind, content, id_key, key, first in zip(*(b.column(c).to_pylist() for c in ("anchor", "salt", "kind", "content", "id_key", "doc_key", "first")), strict=True):
-                if (anchor, salt) != now:
+            for block, salt, kind, content, id_key, key, first in zip(*(b.column(c).to_pylist() for c in ("block", "salt", "kind", "content", "id_key", "doc_key", "first")), strict=True):
+                if (block, salt) != now:
                     shard.stream()
                     shard.clear()
-                    now = (anchor, salt)
+                    now = (block, salt)
                 if kind == 0:
                     shard.passage(content, (id_key, key, first))
                 else:
@@ -386,9 +402,9 @@ def _keep(window: int, known=None):
 
 def _copies(rows: DataFrame) -> DataFrame:
     """(id_key, doc_key) of rows whose whole text another document has before them."""
-    light = common.checkpointed(rows.select("id_key", "doc_key", F.unhex(F.md5("text")).alias("same")))
+    light = common.checkpointed(rows.select("id_key", "doc_key", F.unhex(F.sha2("text", 256)).alias("same")))
     first = light.groupBy("same").agg(F.min(F.struct("id_key", "doc_key")).alias("first"), F.max(F.struct("id_key", "doc_key")).alias("last")).where("first <> last").select("same", "first")
-    later = light.join(first, "same").where(F.struct("id_key", "doc_key") != F.col("first"))
+    later = common.spread_join(light, common.checkpointed(first), ["same"]).where(F.struct("id_key", "doc_key") != F.col("first"))
     return common.checkpointed(later.select("id_key", "doc_key").distinct())
 
 
@@ -451,11 +467,16 @@ def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     contents = many.groupBy("anchor", "seen", "content").agg(first, F.count(F.lit(1)).alias("n"))
     single = contents.mapInArrow(_windows(window), f"{CUT}, n long")
     passages = single.groupBy("anchor", "seen", "content").agg(first, F.sum("n").alias("n")).where("n > 1").select("anchor", "seen", "content", "place.*")
-    copies = F.ceil(F.col("seen") / CROWD).cast("int")
-    columns = ["anchor", "salt", "kind", "content", "id_key", "doc_key", "first"]
-    dealt = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("kind", F.lit(0)).select(columns)
-    dealt = dealt.union(many.withColumn("salt", F.pmod(F.xxhash64("doc_key", "first"), copies).cast("int")).withColumn("kind", F.lit(1)).select(columns))
-    far = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "kind").mapInArrow(_locate(window), COVER)
+    crowded = common.checkpointed(many.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")))
+    count = crowded.count()
+    blocks = max(1, -(-count // max(BLOCK, -(-count // BLOCKS))))
+    block = F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int")
+    need = {r["block"]: r["shards"] for r in crowded.groupBy(block.alias("block")).agg(F.ceil(F.sum("n") / SHARD).cast("int").alias("shards")).collect()}  # at most BLOCKS rows
+    shards = F.get(F.array(*[F.lit(need.get(i, 1)) for i in range(blocks)]), F.col("block"))
+    columns = ["block", "salt", "kind", "content", "id_key", "doc_key", "first"]
+    dealt = passages.withColumn("block", block).withColumn("salt", F.explode(F.sequence(F.lit(0), shards - 1))).withColumn("kind", F.lit(0)).select(columns)
+    dealt = dealt.union(many.withColumn("block", block).withColumn("salt", F.pmod(F.xxhash64("doc_key"), shards).cast("int")).withColumn("kind", F.lit(1)).select(columns))
+    far = dealt.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "id_key", "doc_key", "first").mapInArrow(_locate(window), COVER)
     lists = near.union(far).groupBy("id_key", "doc_key").agg(F.collect_set(F.struct("begin", "end")).alias("covers"))
     whole = again.select("id_key", "doc_key", F.lit(0).cast("long").alias("begin"), F.lit(WHOLE).cast("long").alias("end"))
     return common.checkpointed(lists.mapInArrow(_merge, COVER).union(whole))
