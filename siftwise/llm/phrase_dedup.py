@@ -43,7 +43,7 @@ WINDOW, GRAM = 20, 6
 #: Occurrences of one anchor that a single group of a shard gets.
 CROWD = 4096
 #: Crowded anchors taken together, how many such blocks there are at most, and segments of a shard of theirs.
-BLOCK, BLOCKS, SHARD = 256, 1024, 8192
+BLOCK, BLOCKS, SHARD = 256, 1024, 65_536
 #: Recurring anchors that are sent to every task (16 bytes each); more are joined.
 SENT_ANCHORS = 2_000_000
 #: Word ranges to remove that are sent to every task (32 bytes each); more are joined.
