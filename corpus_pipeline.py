@@ -11,18 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwise.llm import common, mixing, packing, phrase_dedup, rule_lists, shingle_sets
 from siftwise.llm.queries import tokenizer_path
 
-#: Differing bits at which three-word fingerprints were linked here before; the stage now links by
-#: five-word shingles (shingle_sets.py), and tests compare the two.
-NEAR_BITS = 7
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
     return rule_lists.kept_documents(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a five-word Jaccard similarity of 0.8 or more, that of the smallest doc_id."""
+    """One document of each group linked at a five-word Jaccard similarity of 0.8 or more, that of the smallest doc_id: SimHash candidates, checked and completed."""
     return shingle_sets.keep_one(docs)
 
 
@@ -54,10 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages rows are written to the shared folder."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over documents; between stages rows are written to the shared folder, and dropped when they have been read."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         at = common.new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            common.drop_folder(spark, last)
+        docs, last = spark.read.parquet(at), at
+    out = common.checkpointed(STAGES[-1][1](spark, docs, sf_dir))
+    if last:
+        common.drop_folder(spark, last)
+    return out
