@@ -32,6 +32,8 @@ from .tokens import END_ID, Encoder, with_end
 WINDOW = 8
 LEAST, MEAN_BITS, MOST = 64, 9, 4096
 DIGEST = 16
+#: Steps that double the ids a rolling hash sums up, and the factor of the ids that many places before.
+_SHIFTS = [(1 << k, np.uint64(pow(0xD6E8FEB86659FD93, 1 << k, 1 << 64))) for k in range(WINDOW.bit_length() - 1)]
 
 _BLOB = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("payload", pa.binary()), ("width", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64())])
 BLOB = "kind int, key binary, payload binary, width int, n long, doc_id long"
@@ -41,9 +43,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream; they depend on nearby ids alone."""
     n = len(ids)
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    rolling = np.zeros(n, np.uint64)
-    for k in range(min(WINDOW, n)):
-        rolling[k:] += mixed[: n - k] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
+    rolling = mixed
+    for k, factor in _SHIFTS:  # over 2, 4 and 8 ids
+        longer = rolling.copy()
+        longer[k:] += rolling[:-k] * factor
+        rolling = longer
     marks = np.flatnonzero((rolling >> np.uint64(64 - MEAN_BITS)) == 0) + 1
     ends, begin = [], 0
     for m in marks.tolist():
@@ -82,10 +86,13 @@ def _encode(path: str, end_id: int):
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(common.binary_list(b.column("text"))), strict=True):
                 ids = with_end(ids, end_id)
                 parts, begin = [], 0
+                narrow = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else None
                 for end in cuts(ids):
-                    chunk = ids[begin:end]
-                    width = 2 if chunk.max() < 1 << 16 else 4
-                    data = chunk.astype(f"<u{width}").tobytes()
+                    if narrow is not None:
+                        width, data = 2, narrow[2 * begin : 2 * end]
+                    else:
+                        width = 2 if ids[begin:end].max() < 1 << 16 else 4
+                        data = ids[begin:end].astype(f"<u{width}").tobytes()
                     key = digest(bytes([width]) + data)
                     parts.append(key)
                     if key not in sent:
@@ -153,15 +160,15 @@ def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of each recipe, whose root is checked."""
     for b in batches:
-        start, place, keys = [], [], []
-        for s, root, parts in zip(*(b.column(c).to_pylist() for c in ("start", "root", "parts")), strict=True):
-            own = [parts[i : i + DIGEST] for i in range(0, len(parts), DIGEST)]
-            if merkle(own) != root:
+        rows = b.column("parts").to_pylist()
+        n = np.array([len(parts) // DIGEST for parts in rows], np.int64)
+        for s, root, parts in zip(b.column("start").to_pylist(), b.column("root").to_pylist(), rows, strict=True):
+            if len(parts) % DIGEST or merkle([parts[i : i + DIGEST] for i in range(0, len(parts), DIGEST)]) != root:
                 raise ValueError(f"the recipe at {s} is damaged")
-            start += [s] * len(own)
-            place += range(len(own))
-            keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(start, pa.int64()), pa.array(place, pa.int32()), pa.array(keys, pa.binary())], ["start", "place", "key"])
+        total = int(n.sum())
+        keys = pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(np.arange(total + 1, dtype=np.int32) * DIGEST), pa.py_buffer(b"".join(rows))])
+        place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("start").to_numpy(), n)), pa.array(place.astype(np.int32)), keys], ["start", "place", "key"])
 
 
 class Crc32Join:
@@ -174,7 +181,7 @@ class Crc32Join:
             step.append((v >> 1) ^ (0xEDB88320 if v & 1 else 0))
         for _ in range(3):
             step = self._twice(step)
-        self.maps = [step]
+        self.maps, self.tables = [step], []
 
     @staticmethod
     def _apply(columns: list[int], v: int) -> int:
@@ -189,30 +196,50 @@ class Crc32Join:
     def _twice(self, columns: list[int]) -> list[int]:
         return [self._apply(columns, c) for c in columns]
 
+    def _map(self, k: int) -> np.ndarray:
+        """What 2^k zero bytes make of each value of each of a sum's four bytes."""
+        while len(self.maps) <= k:
+            self.maps.append(self._twice(self.maps[-1]))
+        while len(self.tables) <= k:
+            columns = np.array(self.maps[len(self.tables)], np.uint32).reshape(4, 8, 1)
+            bits = np.arange(256, dtype=np.uint32) >> np.arange(8, dtype=np.uint32)[:, None] & 1
+            self.tables.append(np.bitwise_xor.reduce(columns * bits, 1))
+        return self.tables[k]
+
+    def joined(self, crc: np.ndarray, size: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The sums of many documents: crc and size (bytes) of their parts on end, and where each document's parts begin (it has some)."""
+        total = crc.astype(np.uint32)
+        ends = np.cumsum(size)
+        n = np.diff(begins, append=len(crc))
+        left = np.repeat(ends[begins + n - 1], n) - ends  # bytes of the document behind a part
+        k = 0
+        while len(at := np.flatnonzero(left >> k)):
+            at = at[left[at] >> k & 1 == 1]
+            table, v = self._map(k), total[at]
+            total[at] = table[0][v & 255] ^ table[1][v >> 8 & 255] ^ table[2][v >> 16 & 255] ^ table[3][v >> 24]
+            k += 1
+        return np.bitwise_xor.reduceat(total, begins)
+
     def __call__(self, parts: list[tuple[int, int]]) -> int:
         """parts: (crc32, bytes) in order."""
-        total = 0
-        for crc, size in parts:
-            k = 0
-            while size:
-                if len(self.maps) <= k:
-                    self.maps.append(self._twice(self.maps[-1]))
-                if size & 1:
-                    total = self._apply(self.maps[k], total)
-                size >>= 1
-                k += 1
-            total ^= crc
-        return total
+        if not parts:
+            return 0
+        crc, size = zip(*parts, strict=True)
+        return int(self.joined(np.array(crc, np.uint32), np.array(size, np.int64), np.zeros(1, np.int64))[0])
 
 
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     join = Crc32Join()
     for b in batches:
-        sums, counts = [], []
-        for parts in b.column("parts").to_pylist():
-            sums.append(join([(p["crc"], 4 * p["n_ids"]) for p in parts]))
-            counts.append(sum(p["n_ids"] for p in parts))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n"), pa.array(sums, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_read"])
+        if not b.num_rows:
+            continue
+        parts = b.column("parts")
+        n = np.diff(parts.offsets.to_numpy())
+        begins, flat = np.cumsum(n) - n, parts.flatten()
+        sizes = flat.field("n_ids").to_numpy(zero_copy_only=False)
+        sums = join.joined(flat.field("crc").to_numpy(zero_copy_only=False), 4 * sizes, begins)
+        counts = np.add.reduceat(sizes, begins)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n"), pa.array(sums.astype(np.int64)), pa.array(counts)], ["doc_id", "start", "n_tokens", "ids_crc32", "n_read"])
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:

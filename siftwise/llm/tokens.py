@@ -9,7 +9,6 @@ from __future__ import annotations
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ import pyarrow as pa
 RUN_BYTES = 1 << 21
 #: Distinct pre-tokens whose ids a process keeps; later ones are encoded anew, with the same ids.
 CACHE = 400_000
+#: Pre-tokens of up to this many bytes are looked up by array operations, longer ones one by one.
+PACKED = 15
 END_ID = 2
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -31,6 +32,8 @@ def _kind(cp: int) -> int:
 
 
 _ASCII = np.array([_kind(i) for i in range(128)], np.uint8)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,6 +46,63 @@ def _byte_letters() -> dict[int, str]:
     return letters
 
 
+class PackedSlots:
+    """A hash table from short byte strings to 0, 1, 2..., probed for many at a time.
+
+    A string of up to PACKED bytes and its length fill two 64-bit numbers, which are compared whole, so no two are mixed up.
+    """
+
+    def __init__(self, size: int = 1 << 12):
+        self.n = 0
+        self.low, self.high = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.table = np.full(2 * size, -1, np.int32)
+
+    @staticmethod
+    def pack(data: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = data + bytes(16)
+        at = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        low = at[begin] & _FIRST[np.minimum(size, 8)]
+        high = at[begin + 8 * (size > 8)] & _FIRST[np.maximum(size - 8, 0)]
+        return low, high | size.astype(np.uint64) << np.uint64(56)
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each string, -1 if it is not held."""
+        out = np.full(len(low), -1, np.int64)
+        todo, place = np.arange(len(low)), self._home(low, high)
+        while len(todo):
+            held = self.table[place]
+            same = (held >= 0) & (self.low[held] == low[todo]) & (self.high[held] == high[todo])
+            out[todo[same]] = held[same]
+            on = (held >= 0) & ~same
+            todo, place = todo[on], (place[on] + 1) & (len(self.table) - 1)
+        return out
+
+    def _place(self, numbers: np.ndarray) -> None:
+        place = self._home(self.low[numbers], self.high[numbers])
+        while len(numbers):
+            free = self.table[place] < 0
+            self.table[place[free]] = numbers[free]
+            on = self.table[place] != numbers
+            numbers, place = numbers[on], (place[on] + 1) & (len(self.table) - 1)
+
+    def add(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Distinct strings that are not held get the next numbers."""
+        n = self.n + len(low)
+        if n > len(self.low):
+            size = 1 << (n - 1).bit_length()
+            self.low, self.high = (np.concatenate([x, np.zeros(size - len(x), np.uint64)]) for x in (self.low, self.high))
+            self.table = np.full(2 * size, -1, np.int32)
+            self._place(np.arange(self.n, dtype=np.int32))
+        self.low[self.n : n], self.high[self.n : n] = low, high
+        self._place(np.arange(self.n, n, dtype=np.int32))
+        self.n = n
+
+
 class Encoder:
     """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives.
 
@@ -71,35 +131,56 @@ class Encoder:
         if whole.normalizer is not None or type(whole.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("only byte-level vocabularies without a normalizer are known here")
         self.model = whole.model
-        self.letters = _byte_letters()
+        self.letters = np.array([ord(c) for _, c in sorted(_byte_letters().items())], "<u4")
         self.kinds: dict[int, int] = {}
-        self.slots: dict[bytes, int] = {}
-        self.flat, self.ends = array("I"), array("q", [0])  # ids of the kept pre-tokens on end
-
-    def _gather(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of pre-tokens: a flat array, and where in it each begins and ends."""
-        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(slots < 0).tolist()
-        kept = min(len(missing), CACHE - len(self.slots))
-        spare, spare_ends = array("I"), array("q", [0])
-        tokenize, letters = self.model.tokenize, self.letters
-        for k, i in enumerate(missing):
-            flat, ends = (self.flat, self.ends) if k < kept else (spare, spare_ends)
-            flat.extend([t.id for t in tokenize(words[i].decode("latin-1").translate(letters))])
-            ends.append(len(flat))
-            if k < kept:
-                slots[i] = self.slots[words[i]] = len(self.slots)
+        self.short = PackedSlots()
+        self.short_at = np.zeros((1 << 12, 2), np.uint32)  # where in flat the ids of a short pre-token begin and end
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0  # ids of the kept pre-tokens on end
+
+    def _gather(self, data: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens, which lie in data between cuts: a flat array, and where in it each begins and ends."""
+        size = np.diff(cuts)
+        at = np.zeros((len(size), 2), np.int64)
+        short = np.flatnonzero(size <= PACKED)
+        low, high = PackedSlots.pack(data, cuts[short], size[short])
+        slots = self.short.find(low, high)
+        held = slots >= 0
+        at[short[held]] = self.short_at[slots[held]]
+        new = np.flatnonzero(~held)
+        new_words = [data[a:b] for a, b in zip(cuts[short[new]].tolist(), cuts[short[new] + 1].tolist(), strict=True)]
+        new_long: list[int] = []
+        for i in np.flatnonzero(size > PACKED).tolist():
+            word = data[cuts[i] : cuts[i + 1]]
+            if word in self.long:
+                at[i] = self.long[word]
             else:
-                slots[i] = len(spare_ends) - 2 - (1 << 40)
-        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
-        extra = slots < 0
-        own = np.where(extra, 0, slots)
-        begin, end = ends[own], ends[np.minimum(own + 1, len(ends) - 1)]
-        if extra.any():
-            at, far = slots[extra] + (1 << 40), np.array(spare_ends, np.int64) + len(flat)
-            begin[extra], end[extra] = far[at], far[at + 1]
-            flat = np.concatenate([flat, np.array(spare, np.uint32)])
-        return flat, begin, end
+                new_long.append(i)
+                new_words.append(word)
+        if not new_words:
+            return self.flat, at[:, 0], at[:, 1]
+        ids, ends = array("I"), array("q", [0])
+        tokenize = self.model.tokenize
+        lettered = self.letters[np.frombuffer(b"".join(new_words), np.uint8)].tobytes().decode("utf-32-le")
+        a = 0
+        for n in map(len, new_words):
+            ids.extend([t.id for t in tokenize(lettered[a : a + n])])
+            ends.append(len(ids))
+            a += n
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        far = np.array(ends, np.int64) + self.used
+        spans = np.stack([far[:-1], far[1:]], 1)
+        at[short[new]], at[new_long] = spans[: len(new)], spans[len(new) :]
+        if len(new_words) <= CACHE - self.short.n - len(self.long):  # ids of others lie behind those in use until the next call
+            if (n := self.short.n + len(new)) > len(self.short_at):
+                self.short_at = np.concatenate([self.short_at[: self.short.n], np.zeros((2 * n - self.short.n, 2), np.uint32)])
+            self.short_at[self.short.n : n] = spans[: len(new)]
+            self.short.add(low[new], high[new])
+            self.long |= zip(new_words[len(new) :], map(tuple, spans[len(new) :].tolist()), strict=True)
+            self.used = int(far[-1])
+        return self.flat, at[:, 0], at[:, 1]
 
     def _classes(self, cps: np.ndarray) -> np.ndarray:
         out = _ASCII[np.minimum(cps, 127)]
@@ -164,9 +245,8 @@ class Encoder:
         words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = words.dictionary_encode()
         index, distinct = coded.indices.to_numpy(), coded.dictionary
-        cuts = np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1].tolist()
-        held = distinct.buffers()[2].to_pybytes()
-        flat, begin, end = self._gather([held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        cuts = np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1].astype(np.int64)
+        flat, begin, end = self._gather(distinct.buffers()[2].to_pybytes(), cuts)
         n = (end - begin)[index]
         ends = np.cumsum(n)
         ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(ends[-1])]

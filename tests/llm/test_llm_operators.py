@@ -452,6 +452,87 @@ def test_crc32_join():
         assert join([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
 
 
+def test_sums_are_joined_without_a_call_for_each_part():
+    import sys
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    held = [[rng.randbytes(4 * rng.randint(1, 900)) for _ in range(rng.randint(1, 9))] for _ in range(300)]
+    parts = [[{"place": i, "crc": zlib.crc32(p), "n_ids": len(p) // 4} for i, p in enumerate(d)] for d in held]
+    struct = pa.struct([("place", pa.int32()), ("crc", pa.int64()), ("n_ids", pa.int64())])
+    at, n = list(range(301)), [sum(map(len, d)) // 4 for d in held]
+    # rows of a slice, as a batch may be one
+    batch = pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array([0, *n]), pa.array([parts[0], *parts], pa.list_(struct))], ["doc_id", "start", "n", "parts"]).slice(1)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    list(chunk_store._sum_up(iter([batch])))
+    sys.setprofile(count)
+    try:
+        got = list(chunk_store._sum_up(iter([batch, batch.slice(0, 0)])))[0]
+    finally:
+        sys.setprofile(None)
+    assert got["ids_crc32"].to_pylist() == [zlib.crc32(b"".join(d)) for d in held] and got["n_read"].to_pylist() == n
+    assert calls < sum(map(len, held))
+
+
+def test_packed_slots():
+    from siftwise.llm.tokens import PACKED, PackedSlots
+
+    rng = random.Random(13)
+    every = list(dict.fromkeys(bytes(rng.choices(b"\0ab\xff", k=rng.randint(0, PACKED))) for _ in range(20_000)))
+
+    def packed(words):
+        cuts = np.cumsum([0, *map(len, words)])
+        return PackedSlots.pack(b"".join(words), cuts[:-1], np.diff(cuts))
+
+    slots, known = PackedSlots(4), {}
+    for i in range(0, len(every), 700):
+        own = every[i : i + 700]
+        assert (slots.find(*packed(own)) == -1).all()
+        slots.add(*packed(own))
+        known |= {w: len(known) + k for k, w in enumerate(own)}
+        assert slots.find(*packed(every)).tolist() == [known.get(w, -1) for w in every]
+
+
+def test_encoder_finds_known_words_by_array_operations(monkeypatch, ids):
+    import sys
+
+    from siftwise.llm import tokens
+
+    encoder, known = tokens.Encoder(TOKENIZER), 5000
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(known)).encode()
+    (first,) = encoder.encode([text])
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        frame.f_trace_opcodes = True
+        steps += event == "opcode"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        (second,) = encoder.encode([text])
+    finally:
+        sys.settrace(before)
+    assert second.tolist() == first.tolist() == ids(text.decode()).tolist()[:-1]
+    assert 0 < steps < known  # fewer steps of Python than words
+    # with a full cache, and words too long to pack, ids are still the library's
+    monkeypatch.setattr(tokens, "CACHE", 60)
+    small, rng = tokens.Encoder(TOKENIZER), random.Random(14)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("aé漢\0😀b", k=rng.choice([1, 2, 14, 15, 16, 40]))) for _ in range(rng.randint(0, 6))) for _ in range(4)]
+        for t, got in zip(texts, small.encode([t.encode() for t in texts]), strict=True):
+            assert got.tolist() == ids(t).tolist()[:-1]
+    assert 0 < small.short.n + len(small.long) <= 60 and small.long
+
+
 def test_encoder_equals_the_library(ids):
     from siftwise.llm.tokens import Encoder, safe_cuts
 
