@@ -290,3 +290,30 @@ def test_synthesis_keeps_confirmed_conditions(spark):
     docs = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     spread = warm_start.spread(spark.createDataFrame([("p",), ("q",)], "predicate string"), docs, 5, 1)
     assert spread.count() == 10 and spread.select("cand_id").distinct().count() == 10
+
+
+def test_bm25_of_hits_scores_only_hits(spark):
+    """The scores that bm25 gives, for the lessons a document hit alone, and 0 where it gives none."""
+    words = "red green blue round square large".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i + j) % 6] for j in range(i % 4))) for i in range(12)], "doc_id long, text string")
+    pool = spark.createDataFrame([(f"e{i}", " ".join(words[i : i + 2]), words[5 - i]) for i in range(5)], "experience_id string, one string, two string")
+    hits = spark.createDataFrame([(i, f"e{(i + j) % 5}", j) for i in range(12) for j in range(2)], "doc_id long, experience_id string, rank int")
+    told = {(r.doc_id, r.experience_id): (r.rank, r.a, r.b) for r in retrieval.bm25_of_hits(hits, docs, pool, {"one": "a", "two": "b"}).collect()}
+    assert len(told) == 24
+    for n, column in enumerate(("one", "two")):
+        every = {(r.doc_id, r.experience_id): r.bm25 for r in retrieval.bm25(docs, pool, column).collect()}
+        for k, v in told.items():
+            assert v[n + 1] == pytest.approx(every.get(k, 0.0), abs=1e-12) and v[0] == (int(k[1][1]) - k[0]) % 5
+
+
+def test_hits_carry_only_what_is_kept_and_meet_the_pool_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "doc_id long, vec array<double>")
+    pool = spark.createDataFrame([(f"e{i}", "q", rng.normal(size=4).tolist()) for i in range(9)], "experience_id string, source_query string, vec array<double>")
+    whole = retrieval.top_k(points, pool, ["doc_id"], 3)
+    own = sorted(map(tuple, whole.drop("vec").collect()))
+    monkeypatch.setattr(retrieval, "SLICE", 2)
+    few = retrieval.top_k(points, pool, ["doc_id"], 3, keep=["doc_id"])
+    assert "vec" not in few.columns and sorted(map(tuple, few.collect())) == own
+    monkeypatch.setattr(retrieval, "SENT_POOL", 4)
+    assert sorted(map(tuple, retrieval.top_k(points, pool, ["doc_id"], 3, keep=["doc_id"]).select(few.columns).collect())) == own
