@@ -131,14 +131,15 @@ def points(documents: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFr
     return joined.withColumn("query_description", F.coalesce("query_description", F.lit("")))
 
 
-def order_key(order: str, seed: int = 0) -> list[Column]:
-    """Sort columns within a predicate; the seeded shuffle sorts by a digest."""
+def order_key(order: str, seed: int = 0, length: Column | None = None) -> list[Column]:
+    """Sort columns within a predicate; the seeded shuffle sorts by a digest. length: characters of the text, where the text itself is not at hand."""
     if order not in ORDERS:
         raise ValueError(f"unknown order {order!r}; known: {ORDERS}")
+    chars = F.length("text") if length is None else length
     by = {
         "doc_id": [],
-        "shortest": [F.length("text").asc()],
-        "longest": [F.length("text").desc()],
+        "shortest": [chars.asc()],
+        "longest": [chars.desc()],
         "shuffled": [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_name"), F.col("doc_id").cast("string"))).asc()],
     }[order]
     return [*by, F.col("doc_id").asc()]
