@@ -317,3 +317,28 @@ def test_hits_carry_only_what_is_kept_and_meet_the_pool_in_slices(spark, monkeyp
     assert "vec" not in few.columns and sorted(map(tuple, few.collect())) == own
     monkeypatch.setattr(retrieval, "SENT_POOL", 4)
     assert sorted(map(tuple, retrieval.top_k(points, pool, ["doc_id"], 3, keep=["doc_id"]).select(few.columns).collect())) == own
+
+
+def test_demonstrations_move_each_row_once(spark, monkeypatch):
+    """Points and records are not copied for every pair of blocks; blocks of any size, with ties and gaps, give the same rows as all pairs."""
+    rng = np.random.default_rng(5)
+    rows = [("pq"[i % 2], int(d), int(p), rng.integers(-2, 3, 3).astype(float).tolist(), ("Yes", "No", "UNKNOWN")[i % 3]) for i, (d, p) in enumerate(zip(rng.integers(0, 9, 60), rng.permutation(600)[:60], strict=True))]
+    df = spark.createDataFrame(rows, "query_name string, doc_id long, pos long, vec array<double>, prediction string")
+    expected = []
+    for q, d, p, v, _ in rows:
+        near = sorted(((-float(np.dot(v, w)), e), label) for r, e, o, w, label in rows if r == q and e != d and o < p and label != "UNKNOWN")
+        expected += [(q, d, p, -x[0], n) for n, (x, _) in enumerate(near[:2])]
+    for packed in (4, 1000):
+        monkeypatch.setattr(retrieval, "PACKED", packed)
+        out = retrieval.demonstrations(df, df, 2, block=7)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_name, r.doc_id, r.pos, r.cos, r["rank"]) for r in out.collect()) == sorted(expected)
+
+
+def test_orders_settle_no_texts(spark, small_dir, monkeypatch):
+    from siftwise.plans import registry
+
+    seen, settled = [], prefix.settled
+    monkeypatch.setattr(prefix, "settled", lambda df: seen.append(df.columns) or settled(df))
+    registry.points_ordered(spark, small_dir)
+    assert seen and not any("text" in c for c in seen)
